@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.llm.page import source_format
+from sheafline.session import cut
 
 #: a closing paragraph recurs: in so many messages of one sender, or of all by so many senders, at the end in this share
 SENDER_MESSAGES = 3
@@ -85,17 +86,18 @@ def message_lines(docs: DataFrame) -> DataFrame:
     return lines.select("canon_id", "line_no", "sender", "address", "thread", "sent_at", "raw", "t", "earlier")
 
 
-def repeated_in_thread(lines: DataFrame) -> DataFrame:
-    """canon_id, line_no of lines that an earlier message of another sender in the thread was first to hold.
+def with_repeats(lines: DataFrame) -> DataFrame:
+    """Adds ``again``: an earlier message of another sender in the thread was first to hold the line.
 
-    Messages of a thread are ranked by date; the first occurrence of a normal form is kept. The thread's key holds both parties,
-    and only long lines take part, so a group is a line within a conversation, never a corpus-wide one.
+    Messages of a thread are ranked by date; the first occurrence of a normal form is kept. The thread's key holds both parties
+    and only long lines take part, so a window is a line within a conversation; every other line is a window of its own.
     """
-    norm = F.lower(F.regexp_replace(F.regexp_replace("raw", QUOTE, ""), r"[\W_]+", " "))
-    said = lines.withColumn("norm", F.trim(norm)).where((F.length("norm") >= THREAD_CHARS) & F.col("sent_at").isNotNull() & ~F.col("thread").rlike("\x01$|\x01\x01"))
-    w = Window.partitionBy("thread", F.xxhash64("norm")).orderBy("sent_at", "canon_id")
-    first = said.withColumn("first_at", F.first("sent_at").over(w)).withColumn("author", F.first("address").over(w))
-    return first.where((F.col("sent_at") > F.col("first_at")) & (F.col("author") != F.col("address"))).select("canon_id", "line_no")
+    norm = F.trim(F.lower(F.regexp_replace(F.regexp_replace("raw", QUOTE, ""), r"[\W_]+", " ")))
+    part = (F.length(norm) >= THREAD_CHARS) & F.col("sent_at").isNotNull() & ~F.col("thread").rlike("\x01$|\x01\x01")
+    key = F.when(F.coalesce(part, F.lit(False)), F.xxhash64("thread", norm)).otherwise(F.xxhash64("canon_id", "line_no"))
+    w = Window.partitionBy("said").orderBy("sent_at", "canon_id")
+    first = lines.withColumn("said", key).withColumn("first_at", F.first("sent_at").over(w)).withColumn("author", F.first("address").over(w))
+    return first.withColumn("again", F.coalesce((F.col("sent_at") > F.col("first_at")) & (F.col("author") != F.col("address")), F.lit(False))).drop("said", "first_at", "author", "thread", "sent_at")
 
 
 def closing_lines(new: DataFrame) -> DataFrame:
@@ -147,6 +149,7 @@ def closing_lines(new: DataFrame) -> DataFrame:
     kept_below = F.coalesce(F.max(((~F.col("gone")) & (F.col("para").isNotNull())).cast("int") * F.col("para")).over(down), F.lit(0))
     lines = lines.withColumn("at_end", kept_below <= F.col("para"))
     lines = lines.withColumn("legal_end", F.col("legal") & F.col("at_end"))
+    lines = cut(lines.select("canon_id", "line_no", "para", "p_first", "address", "text", "at_end", "gone", "legal_end"))
     skeleton = F.xxhash64(F.regexp_replace(F.regexp_replace(F.lower("text"), r"\d+", "0"), r"[*_\s]+", " "))
     heads = lines.where((F.col("line_no") == F.col("p_first")) & (F.size(F.split("text", " ")) >= 6)).select("canon_id", "para", "address", "at_end", skeleton.alias("skel"))
     by_all = heads.groupBy("skel", "address").agg(F.count("*").alias("n"), F.sum(F.col("at_end").cast("int")).alias("e"))
@@ -160,9 +163,8 @@ def closing_lines(new: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """canon_id, line_no of each non-blank line of message text that is not the sender's new text."""
-    lines = message_lines(docs)
-    repeated = repeated_in_thread(lines).withColumn("again", F.lit(True))
-    tagged = lines.join(repeated.distinct(), ["canon_id", "line_no"], "left").withColumn("old", F.col("earlier") | F.coalesce("again", F.lit(False)))
+    # the windows' results are used twice each: read back from a checkpoint, not computed again
+    tagged = cut(with_repeats(message_lines(docs)).withColumn("old", F.col("earlier") | F.col("again")).select("canon_id", "line_no", "sender", "address", "t", "old"))
     old = tagged.where("old and t <> ''").select("canon_id", "line_no")
     return old.unionByName(closing_lines(tagged.where("not old"))).distinct().select("canon_id", F.col("line_no").cast("int").alias("line_no"))
 
