@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions import cleanup, text
@@ -397,3 +397,83 @@ add("l01_sql_eq", _mini("SELECT concept_id, title FROM concepts WHERE type = 'No
 add("l01_sql_ne", _mini("SELECT concept_id FROM concepts WHERE status != unverified"), f"with {_MINI} select concept_id from concepts where coalesce(status, '') <> 'unverified'")
 add("l01_sql_like", _mini("SELECT concept_id FROM concepts WHERE title LIKE '^(guide|reading)'"), f"with {_MINI} select concept_id from concepts where regexp_matches(coalesce(title, ''), '(?i)^(guide|reading)')")
 add("l01_sql_in", _mini("SELECT concept_id FROM concepts WHERE bundle IN (@intake-notes, @tender-box)"), f"with {_MINI} select concept_id from concepts where bundle in ('@intake-notes', '@tender-box')")
+
+# ---- sources, emitters, differences, streams ---------------------------------------------------------------------
+
+from sheafline.operators import diff, emit  # noqa: E402
+from sheafline.sources import adapters  # noqa: E402
+from sheafline.streaming import watch  # noqa: E402
+
+
+def _extracted(s: SparkSession, d: str, source: str, path: Column, content: Column, cond: str = "true") -> DataFrame:
+    return adapters.extract(table(s, d, source).where(cond).select(path.alias("relpath"), F.encode(content, "UTF-8").alias("content")))
+
+
+def _escaped(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+_STR = lambda c: F.col(c).cast("string")
+add("a01_txt", lambda s, d: _extracted(s, d, "documents", F.concat(F.lit("in/"), _STR("doc_id"), F.lit(".txt")), F.col("text"), "text is not null").select("relpath", F.length("body_md").cast("bigint").alias("n")),
+    f"select 'in/' || doc_id || '.txt' as relpath, cast(8 + length(regexp_replace(text, '{SPACE}+$', '')) + 5 as bigint) as n from documents where text is not null")
+_PAGE = lambda: F.concat(F.lit("<html><head><title>Site</title><style>p{}</style></head><body><nav><a href='/'>Home</a></nav><main><h1>"), _escaped(F.col("title")), F.lit("</h1><p>One <b>two</b>.</p></main><footer>Imprint</footer></body></html>"))
+add("a03_html_title", lambda s, d: _extracted(s, d, "canonical_docs", F.concat(F.lit("web/"), _STR("canon_id"), F.lit(".html")), _PAGE(), "title is not null and trim(title) <> ''").select("relpath", "engine", "title"),
+    f"select 'web/' || canon_id || '.html' as relpath, 'html' as engine, trim(regexp_replace(title, '{SPACE}+', ' ', 'g')) as title from canonical_docs where title is not null and trim(title) <> ''")
+add("a03_html_md", lambda s, d: _extracted(s, d, "canonical_docs", F.concat(F.lit("web/"), _STR("canon_id"), F.lit(".html")), _PAGE(), "title is not null and trim(title) <> ''").select("relpath", F.contains("body_md", F.lit("Imprint")).alias("furniture"), F.contains("body_md", F.lit("One **two**.")).alias("article")),
+    "select 'web/' || canon_id || '.html' as relpath, false as furniture, true as article from canonical_docs where title is not null and trim(title) <> ''")
+add("a04_csv_table", lambda s, d: _extracted(s, d, "customer", F.concat(F.lit("csv/"), _STR("c_custkey"), F.lit(".csv")), F.concat(F.lit("name;segment\n"), F.col("c_name"), F.lit(";"), F.col("c_mktsegment"), F.lit("\n"))).select("relpath", "body_md"),
+    "select 'csv/' || c_custkey || '.csv' as relpath, '| name | segment |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |' || chr(10) || chr(10) || '_1 rows × 2 columns_' || chr(10) as body_md from customer")
+add("a06_json_title", lambda s, d: _extracted(s, d, "customer", F.concat(F.lit("json/"), _STR("c_custkey"), F.lit(".json")), F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("key")))).select("relpath", "title"),
+    "select 'json/' || c_custkey || '.json' as relpath, c_name as title from customer")
+_MAIL = lambda: F.concat(F.lit("From: a@example.org\r\nTo: b@example.org\r\nSubject: Note "), _STR("c_custkey"), F.lit("\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), F.col("c_name"), F.lit("\r\n"))
+add("a07_eml", lambda s, d: _extracted(s, d, "customer", F.concat(F.lit("mail/"), _STR("c_custkey"), F.lit(".eml")), _MAIL()).select("relpath", "title", F.contains("body_md", F.lit("## Body")).alias("has_body")),
+    "select 'mail/' || c_custkey || '.eml' as relpath, 'Note ' || c_custkey as title, true as has_body from customer")
+add("a09_messages", lambda s, d: _extracted(s, d, "nation", F.concat(F.lit("box/"), F.col("n_name"), F.lit(".mbox")), F.concat(F.lit("From a@example.org Mon Jan  1 00:00:00 2024\nSubject: one\n\nfirst\n\nFrom b@example.org Mon Jan  1 00:00:00 2024\nSubject: two\n\n"), F.col("n_name"), F.lit("\n"))).select("relpath", F.col("message_index").cast("bigint").alias("message_index"), "title"),
+    "select 'box/' || n_name || '.mbox' as relpath, i as message_index, n_name || ' — ' || (case when i = 0 then 'one' else 'two' end) as title from nation, (select unnest([0::bigint, 1::bigint]) as i)")
+add("a11_rtf", lambda s, d: _extracted(s, d, "nation", F.concat(F.col("n_name"), F.lit(".rtf")), F.concat(F.lit("{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}\\f0 "), F.col("n_name"), F.lit("\\par caf\\'e9}"))).select("relpath", "body_md"),
+    "select n_name || '.rtf' as relpath, n_name || chr(10) || 'café' || chr(10) as body_md from nation")
+add("a17_failures", lambda s, d: _extracted(s, d, "canonical_docs", F.col("source_relpath"), F.lit("no such file"), "source_relpath is not null").groupBy("engine", "status").agg(F.count("*").alias("n")))
+add("s04_inspect", lambda s, d: adapters.inspected(table(s, d, "documents").select(F.concat(_STR("doc_id"), F.when(F.col("doc_id") % 3 == 0, ".pdf").otherwise(".docx")).alias("relpath"), F.encode(F.when(F.col("doc_id") % 2 == 0, "%PDF-1.7").otherwise("PK\x03\x04 broken"), "UTF-8").alias("content"))).select("relpath", "findings", "disposition"),
+    "select doc_id || case when doc_id % 3 = 0 then '.pdf' else '.docx' end as relpath, case when doc_id % 3 = 0 and doc_id % 2 = 0 then '' when doc_id % 3 = 0 then 'type_mismatch,malformed_archive' when doc_id % 2 = 0 then 'type_mismatch' else 'malformed_archive' end as findings, case when doc_id % 3 = 0 and doc_id % 2 = 0 then 'allow' else 'quarantine' end as disposition from documents")
+add("k03_concept_files", on(lambda t: emit.concept_files(t).select("path", F.length("text").cast("bigint").alias("n")), "canonical_docs"))
+add("k04_wiki_fields", on(emit.wiki_fields, "canonical_docs"), "select canon_id, replace(source_uri, ':', '_') as source, source_sha256 as sha256, replace(okf_generated, ':', '_') as generated_by, replace(okf_verified, ':', '_') as verified_by, okf_stale_after as stale_on from canonical_docs")
+add("k12_webhook", _runs(emit.webhook_payload))
+add("p12_cells", lambda s, d: diff.cells(_orders(s, d), "concept_id", "body").groupBy("concept_id").agg(F.count("*").alias("n_cells"), F.max("row").cast("bigint").alias("last_row")),
+    "select 'orders/' || o_orderkey || '.md' as concept_id, 3 * (count(l_orderkey) + 1) as n_cells, count(l_orderkey) as last_row from orders join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
+
+
+def _cell_diff(s: SparkSession, d: str) -> DataFrame:
+    o = _orders(s, d)
+    left = diff.cells(o, "concept_id", "body")
+    right = left.where("not (row = 2 and concept_id like '%3.md')").withColumn("value", F.when((F.col("row") == 1) & (F.col("col") == 2), F.concat("value", F.lit("x"))).otherwise(F.col("value")))
+    return diff.cell_changes(left, right, "concept_id").groupBy("concept_id").agg(F.count("*").alias("n_changed"))
+
+
+add("d07_cell_diff", _cell_diff,
+    "with n as (select o_orderkey, count(l_orderkey) as n from orders join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by o_orderkey) select 'orders/' || o_orderkey || '.md' as concept_id, (case when n >= 1 then 1 else 0 end + case when n >= 2 and o_orderkey % 10 = 3 then 3 else 0 end)::bigint as n_changed from n where n >= 1")
+
+
+def _reconverted(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "canonical_docs").where("body_md is not null and source_relpath is not null")
+    g = docs.groupBy("source_relpath").agg(F.min_by("body_md", "canon_id").alias("left"), F.max_by("body_md", "canon_id").alias("right"), F.count("*").alias("n")).where("n > 1")
+    return diff.document_changes(g, "source_relpath")
+
+
+add("d05_element_diff", lambda s, d: _reconverted(s, d).groupBy("key", "status").agg(F.count("*").alias("n")))
+add("d08_change_counts", lambda s, d: diff.change_counts(_reconverted(s, d)))
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The debounce over a stream of all events, read until nothing is left."""
+    import uuid
+
+    from sheafline.session import checkpoint_dir
+
+    name = "debounced_" + uuid.uuid4().hex[:12]
+    events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    q = watch.debounced(events, late="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{checkpoint_dir(s)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name).groupBy("user_id").agg(F.count("*").alias("n_batches"), F.sum("n").alias("n_events"))
+
+
+add("y01_stream_debounce", _stream, _SQL["y02_debounce_sessions"])
