@@ -295,13 +295,38 @@ class Judge:
         if not owner:
             return text
 
-        def one(m: re.Match) -> str:
-            word = m.group()
-            near = [c for w, c in owner.items() if word in w] if is_mark(word) else []
-            chain = owner.get(_DIGITS.sub("0", word.strip(_EDGE))) or (near[0] if near else None)
-            return (decode(word, chain) or word) if chain else word
-
-        return _WORD.sub(one, text)
+        def line(text: str) -> str:
+            used: set[str] = set()
+
+            def one(m: re.Match) -> str:
+                word = m.group()
+                near = [c for w, c in owner.items() if word in w] if is_mark(word) else []
+                chain = owner.get(_DIGITS.sub("0", word.strip(_EDGE))) or (near[0] if near else None)
+                if chain:
+                    used.add(chain)
+                return (decode(word, chain) or word) if chain else word
+
+            def rest(m: re.Match) -> str:
+                # words that say nothing by themselves go with a passage that one byte set read as another
+                word = m.group()
+                for chain in used:
+                    if CHAINS[chain][1] >= 6 and _DIGITS.sub("0", word.strip(_EDGE)) not in owner and (d := decode(word, chain)) and self.length(d) <= self.length(word):
+                        return d
+                return word
+
+            done = _WORD.sub(one, text)
+            if not any(CHAINS[c][1] >= 6 for c in used):
+                return done
+            parts = [(m.group(), one(m)) for m in _WORD.finditer(text)]
+            left = iter(parts)
+
+            def again(m: re.Match) -> str:
+                word, new = next(left)
+                return new if new != word else rest(m)
+
+            return _WORD.sub(again, text)
+
+        return "\n".join(line(x) for x in text.split("\n"))
 
 
 # ---- Spark -------------------------------------------------------------------------------------------------------
