@@ -44,8 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_partitions(df: DataFrame, floor: int = 1) -> int:
-    return max(floor, df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files over all cores, ahead of heavy work per row. Larger tables have their partitions already, so what
+    is shuffled is at most one file split a core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
