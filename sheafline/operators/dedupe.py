@@ -13,6 +13,9 @@ from sheafline.session import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: a prefix shingle of more classes than this is salted
+HOT = 500
+SALTS = 16
 
 
 def exact_families(docs: DataFrame, key: str, digest: Column) -> DataFrame:
@@ -39,8 +42,8 @@ def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = SI
     """(classes, links): text classes with their shingles' number, and all pairs of classes with a Jaccard of at least ``similarity``.
 
     Copies are one class. A prefix filter makes it exact without comparing all pairs: shingles are ranked by rarity, and two
-    sets that similar share one among their first n - ceil(s n) + 1 shingles. A prefix shingle that many classes share is
-    split by the position and set size it may still pair with, so that no task takes a whole hot shingle's pairs at once.
+    sets that similar share one among their first n - ceil(s n) + 1 shingles. Sizes and positions rule out most of the rest.
+    A shingle that many classes share is salted: one side is spread, the other replicated over the salts.
     """
     rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.sha2(squeeze(F.lower(F.col(text))), 256).alias("class_id"), F.col(text).alias("t"))
     classes = cut(rows.groupBy("class_id").agg(F.count("*").alias("n_copies"), F.min("k").alias("member"), F.min("t").alias("t")).withColumn("s", shingles(F.col("t"), width)).withColumn("n", F.size("s")).where("n > 0").drop("t"))
@@ -50,10 +53,15 @@ def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = SI
     # shared shingles only: those of one class would stand first, so their number shortens the prefix
     alone = F.col("n") - F.size("o")
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - alone)
-    prefix = ranked.select("class_id", "n", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), length))).alias("p"), length.alias("len")).where("len > 0").select("class_id", "n", F.col("p.h").alias("h"))
-    a = prefix.select("h", F.col("class_id").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("h", F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * similarity) & (F.col("na") >= F.col("nb") * similarity)).select("a", "b").distinct()
+    kept = ranked.withColumn("len", length).withColumn("alone", alone).where("len > 0")
+    prefix = kept.select("class_id", "n", "alone", F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("len")))).alias("pos", "p")).select("class_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), F.col("p.h").alias("h"), F.when(F.col("p.df") > HOT, SALTS).otherwise(1).alias("salts"))
+    a = prefix.select("h", F.pmod(F.hash("class_id"), F.col("salts")).alias("salt"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    b = prefix.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    # sizes must be near, and what stands behind the shared shingle must be able to make up the overlap
+    sizes = (F.col("nb") >= F.col("na") * similarity) & (F.col("na") >= F.col("nb") * similarity)
+    room = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb")
+    need = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity))
+    pairs = a.join(b, ["h", "salt"]).where((F.col("a") < F.col("b")) & sizes & (room >= need - 1e-9)).select("a", "b").distinct()
     sa = classes.select(F.col("class_id").alias("a"), F.col("s").alias("x"))
     sb = classes.select(F.col("class_id").alias("b"), F.col("s").alias("y"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("x", "y"))).withColumn("jaccard", F.col("i") / (F.size("x") + F.size("y") - F.col("i")))

@@ -48,14 +48,15 @@ def top_errors(results: DataFrame, k: int = 10) -> DataFrame:
 
 
 def merged_history(results: DataFrame, recent: int = 20) -> DataFrame:
-    """run_no, n, n_ok, total_to_date of the most recent runs; totals accumulate over all runs before the cut.
+    """run_no, n, n_ok, total_to_date of the most recent runs; totals accumulate over all runs.
 
-    Runs are pre-aggregated; the running total is over one row a run.
+    The total up to a run is that of all runs less the later ones, so that only the recent rows are ordered.
     """
     runs = results.groupBy("run_no").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"))
-    w = Window.orderBy("run_no")
-    total = runs.withColumn("total_to_date", F.sum("n").over(w))
-    return total.orderBy(F.desc("run_no")).limit(recent)
+    latest = runs.orderBy(F.desc("run_no")).limit(recent)
+    later = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("run_no")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = runs.agg(F.sum("n").alias("all_n"))
+    return latest.withColumn("later", later).crossJoin(F.broadcast(total)).select("run_no", "n", "n_ok", (F.col("all_n") - F.col("later")).alias("total_to_date"))
 
 
 def directory_index(concepts: DataFrame, key: str = "concept_id") -> DataFrame:

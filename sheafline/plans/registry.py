@@ -477,3 +477,34 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
 
 add("y01_stream_debounce", _stream, _SQL["y02_debounce_sessions"])
+
+# ---- front door, benchmarks, small functions ---------------------------------------------------------------------
+
+from sheafline.functions.snippet import snippets  # noqa: E402
+from sheafline.operators import benchmark  # noqa: E402
+
+add("x08_snippets", lambda s, d: search.match(_chunks(s, d).where("text is not null"), "ledger cabinet").select("id", snippets(F.col("text"), ["ledger", "cabinet"]).alias("snippet")))
+add("q18_anchor_recall", on(lambda t: t.where("body_md is not null and title is not null").select("canon_id", F.round(benchmark.anchor_recall(F.col("body_md"), F.array("title", F.lit("the"))), 6).alias("recall")), "canonical_docs"),
+    "select canon_id, round((case when contains(body_md, title) then 1 else 0 end + case when contains(body_md, 'the') then 1 else 0 end) / 2.0::double, 6) as recall from canonical_docs where body_md is not null and title is not null")
+
+
+def _engine_deltas(s: SparkSession, d: str) -> DataFrame:
+    r = reports.distinct_runs(table(s, d, "run_results")).where("engine is not null")
+    m = lambda cond: r.where(cond).groupBy("engine").agg(F.avg("duration_seconds").alias("seconds"), F.avg("confidence").alias("confidence"))
+    return benchmark.deltas(m("finished_at >= timestamp'2025-01-01'"), m("finished_at < timestamp'2025-01-01'"), "engine", ("seconds", "confidence"))
+
+
+add("q19_deltas", _engine_deltas,
+    f"with {RUNS}, m as (select engine, finished_at >= timestamp '2025-01-01' as late, avg(duration_seconds) as seconds, avg(confidence) as confidence from runs where engine is not null group by all), j as (select c.engine, c.seconds - b.seconds as s, c.confidence - b.confidence as k from m c join m b using (engine) where c.late and not b.late) select engine, 'seconds' as metric, round(s, 6) as delta from j union all select engine, 'confidence', round(k, 6) from j")
+add("p20_uri_path", on(lambda t: t.where("source_uri is not null").select("canon_id", F.regexp_replace("source_uri", "^[a-z]+://[^/]*/", "").alias("path")), "canonical_docs"),
+    "select canon_id, regexp_replace(source_uri, '^[a-z]+://[^/]*/', '') as path from canonical_docs where source_uri is not null")
+add("p24_node_size", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.greatest(F.lit(24), F.least(F.lit(70), 24 + F.floor(F.length(F.coalesce("body_md", F.lit(""))) / 200))).cast("bigint").alias("size"), F.when(F.col("source_relpath").contains("/"), F.substring_index("source_relpath", "/", 1)).otherwise("(root)").alias("grp")), "canonical_docs"),
+    "select canon_id, greatest(24, least(70, 24 + length(coalesce(body_md, '')) // 200)) as size, case when contains(source_relpath, '/') then split_part(source_relpath, '/', 1) else '(root)' end as grp from canonical_docs where source_relpath is not null")
+add("p29_confidence", on(lambda r: r.select("result_id", benchmark.confidence(F.col("status") == "ok", F.col("engine").isNotNull(), F.coalesce(F.col("confidence") > 0.5, F.lit(False)), F.size("diagnostics") == 0, F.exists("diagnostics", lambda x: x["code"] == "OCR_LOW")).alias("score")).distinct(), "run_results"),
+    "select distinct result_id, round(case when status = 'ok' then 0.4 else 0 end + case when engine is not null then 0.3 else 0 end - case when engine is not null and len(list_filter(diagnostics, lambda x: x.code = 'OCR_LOW')) > 0 then 0.1 else 0 end + case when coalesce(confidence > 0.5, false) then 0.2 else 0 end + case when len(diagnostics) = 0 then 0.1 else 0 end::double, 6)::double as score from run_results")
+add("s11_bundles", lambda s, d: table(s, d, "bundle_registry").join(table(s, d, "canonical_docs").groupBy(F.col("bundle").alias("slug")).agg(F.count("*").alias("n_docs")), "slug", "left").select("slug", "bundle_path", F.coalesce("n_docs", F.lit(0)).alias("n_docs")),
+    "select slug, bundle_path, count(canon_id) as n_docs from bundle_registry left join canonical_docs on bundle = slug group by all")
+add("k01_rendered", on(lambda t: concepts.blocks(t.where("body_md is not null"), "body_md", "canon_id").groupBy("canon_id").agg(F.length(emit.rendered(F.collect_list(F.struct("ordinal", "kind", "text")))).alias("n_chars")), "canonical_docs"))
+add("h05_provenance", on(lambda t: t.where(F.col("source_sha256").rlike(text.SHA256) & F.col("source_uri").isNotNull()).groupBy("source_sha256").agg(F.min("source_uri").alias("source_uri"), F.countDistinct("source_uri").alias("n_uris")), "canonical_docs"),
+    "select source_sha256, min(source_uri) as source_uri, count(distinct source_uri) as n_uris from canonical_docs where regexp_full_match(source_sha256, '[0-9a-f]{64}') and source_uri is not null group by 1")
+add("u02_lost_chunks", lambda s, d: _chunks(s, d).select("source_sha256").distinct().exceptAll(table(s, d, "canonical_docs").select("source_sha256").distinct()), "select distinct source_sha256 from chunks where source_sha256 is not null except select source_sha256 from canonical_docs")
