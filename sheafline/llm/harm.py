@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.session import spread
+
 FEATURES = 1 << 18
 BLOCK = 16
 NEIGHBOURS = 12
@@ -60,6 +63,7 @@ _UNIT = re.compile(r"(?<=[.!?…。])[\"”»)]*\s+|\n+")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:[>|»*#\-]+[ \t]*)+")
 
 
+@lru_cache(maxsize=200_000)
 def fold_word(word: str) -> str:
     w = word.lower()
     if not w.isascii():
@@ -90,10 +94,15 @@ def tokens(unit: str) -> list[str]:
     return [w for w in (fold_word(m) for m in _WORDS.findall(unit)) if w]
 
 
+@lru_cache(maxsize=200_000)
+def bucket(word: str) -> int:
+    return xxhash.xxh32_intdigest(word) % FEATURES
+
+
 def features(words: list[str]) -> dict[int, int]:
     out: dict[int, int] = {}
     for w in words:
-        h = xxhash.xxh32_intdigest(w) % FEATURES
+        h = bucket(w)
         out[h] = out.get(h, 0) + 1
     for a, b in zip(words, words[1:], strict=False):
         h = xxhash.xxh32_intdigest(a + " " + b) % FEATURES
@@ -210,6 +219,21 @@ class Scorer:
         self.weigher = Weigher(model.df, model.n_docs)
         self.dense = np.zeros(FEATURES, dtype=np.float32)
         self.seen: dict[str, tuple[float, int]] = {}
+        # the postings of the harmful examples' blocks alone: most sentences are settled by their bounds
+        index, blocks = model.index, -(-model.leading // BLOCK)
+        self.lead: dict[int, list[tuple[int, float]]] = {}
+        for f in np.unique(index.feats[: index.starts[min(index.n, blocks * BLOCK)]]) if index.n else ():
+            a, b = index.post_start[f], index.post_start[f + 1]
+            b = a + np.searchsorted(index.post_block[a:b], blocks)
+            self.lead[int(f)] = list(zip(index.post_block[a:b].tolist(), index.post_max[a:b].tolist(), strict=True))
+
+    def _may_be_near(self, ids: np.ndarray, values: np.ndarray) -> bool:
+        """Does a harmful example's block have a bound within the radius?"""
+        bounds: dict[int, float] = {}
+        for f, v in zip(ids.tolist(), values.tolist(), strict=True):
+            for block, top in self.lead.get(f, ()):
+                bounds[block] = bounds.get(block, 0.0) + top * v
+        return bool(bounds) and max(bounds.values()) >= RADIUS - 1e-6
 
     def unit(self, text: str) -> tuple[float, int]:
         words = tokens(text)
@@ -224,7 +248,7 @@ class Scorer:
         got = self.seen.get(key)
         if got is None:
             ids, values = self.weigher.vector(words)
-            near, cos = self.model.index.nearest(ids, values, NEIGHBOURS, self.dense, max(1, self.model.leading)) if len(ids) and self.model.leading else (np.zeros(0, dtype=np.int64), np.zeros(0))
+            near, cos = self.model.index.nearest(ids, values, NEIGHBOURS, self.dense, max(1, self.model.leading)) if len(ids) and self.model.leading and self._may_be_near(ids, values) else (np.zeros(0, dtype=np.int64), np.zeros(0))
             got = (vote(self.model.labels[near], cos), int(near[0]) if len(near) else -1)
             if len(self.seen) >= self.KEEP:
                 self.seen.clear()
@@ -272,7 +296,7 @@ def consolidated(labels: DataFrame) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_units: int = MAX_UNITS) -> Model:
-    docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = spread(documents).where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     df = np.zeros(FEATURES, dtype=np.int64)
     n_docs = 0
     for row in docs.select("text").mapInPandas(_count_features, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # at most FEATURES rows
@@ -299,19 +323,27 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     weigher = Weigher(df, n_docs)
     keys = _clustered(list(by_key), weigher)
     index = BlockMaxIndex.build([weigher.vector(k.split(" ")) for k in keys])
-    near = _all_neighbours(documents, keys, index, df, n_docs)
-    labels = share_flags(keys, by_key, near, df, n_docs)
+    flag = {d: y for k in keys for d, y in by_key[k]}
+    doubtful = suspicions(keys, by_key, flag, df, n_docs)
+    near = _neighbours(documents, keys, np.flatnonzero(doubtful >= SUSPICION), index, df, n_docs)
+    labels = share_flags(keys, by_key, flag, doubtful, near)
     order = np.argsort(-labels, kind="stable")  # the harmful examples first, each part clustered as before
-    model = Model(df, n_docs, [text_of[keys[i]] for i in order], labels[order], BlockMaxIndex.build([weigher.vector(keys[i].split(" ")) for i in order]), int(labels.sum()))
-    held_out: dict[int, float] = {}
-    flag: dict[int, float] = {}
-    docs_of = [{d for d, _ in by_key[k]} for k in keys]
-    for i, k in enumerate(keys):
-        for d, y in by_key[k]:
-            flag[d] = y
-            rest = [(labels[n], c) for n, c in zip(*near[i], strict=True) if not docs_of[n] <= {d}]
-            held_out[d] = max(held_out.get(d, 0.0), vote(np.array([x for x, _ in rest]), np.array([c for _, c in rest])) if rest else 0.0)
-    model.slope, model.offset = _platt(np.array([held_out[d] for d in held_out]), np.array([1.0 if flag[d] > 0.5 else 0.0 for d in held_out]))
+    kept = [keys[i] for i in order]
+    model = Model(df, n_docs, [text_of[k] for k in kept], labels[order], BlockMaxIndex.build([weigher.vector(k.split(" ")) for k in kept]), int(labels.sum()))
+    # held-out scores of the reviewed documents, for the calibration
+    scorer = Scorer(model)
+    docs_of = [{d for d, _ in by_key[k]} for k in kept]
+    held_out = dict.fromkeys(flag, 0.0)
+    for i, k in enumerate(kept):
+        ids, values = weigher.vector(k.split(" "))
+        if not scorer.lead or not scorer._may_be_near(ids, values):
+            continue
+        ns, cs = model.index.nearest(ids, values, NEIGHBOURS + 6, scorer.dense, model.leading)
+        for d in docs_of[i]:
+            rest = [j for j, n in enumerate(ns) if not docs_of[n] <= {d}]
+            if rest:
+                held_out[d] = max(held_out[d], vote(model.labels[ns[rest]], cs[rest]))
+    model.slope, model.offset = _platt(np.array([held_out[d] for d in flag]), np.array([1.0 if y > 0.5 else 0.0 for y in flag.values()]))
     return model
 
 
@@ -325,11 +357,14 @@ def _clustered(keys: list[str], weigher: Weigher) -> list[str]:
     return sorted(keys, key=weightiest)
 
 
-def _all_neighbours(documents: DataFrame, keys: list[str], index: BlockMaxIndex, df: np.ndarray, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The nearest examples of every example, searched on the executors."""
+def _neighbours(documents: DataFrame, keys: list[str], wanted: np.ndarray, index: BlockMaxIndex, df: np.ndarray, n_docs: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nearest examples of the wanted examples, searched on the executors; none for the others."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(keys)
+    if not len(wanted):
+        return out
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast((index, df, n_docs, keys))
-    parts = max(8, min(len(keys) // 500 + 1, 4 * spark.sparkContext.defaultParallelism))
+    shared = spark.sparkContext.broadcast((index, df, n_docs, [keys[i] for i in wanted]))
+    parts = max(1, min(len(wanted) // 200 + 1, 4 * spark.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, counts, total, names = shared.value
@@ -343,23 +378,16 @@ def _all_neighbours(documents: DataFrame, keys: list[str], index: BlockMaxIndex,
                 rows.append((int(i), n.tolist(), c.astype(float).tolist()))
             yield pd.DataFrame(rows, columns=["id", "near", "cos"])
 
-    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(keys)
-    for row in spark.range(0, len(keys), 1, parts).mapInPandas(run, "id long, near array<long>, cos array<double>").toLocalIterator():
-        out[row.id] = (np.array(row.near, dtype=np.int64), np.array(row.cos))
+    for row in spark.range(0, len(wanted), 1, parts).mapInPandas(run, "id long, near array<long>, cos array<double>").toLocalIterator():
+        out[wanted[row.id]] = (np.array(row.near, dtype=np.int64), np.array(row.cos))
     return out
 
 
-def share_flags(keys: list[str], by_key: dict[str, list[tuple[int, float]]], near: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, n_docs: int) -> np.ndarray:
-    """1 for the sentences that carry their documents' flags, 0 for all others.
-
-    A word speaks for harm where flagged documents hold it more often than all documents do; a sentence by its three most
-    telling words. Where near sentences of other reviewed documents mostly come from documents passed as sound, it is none.
-    """
-    flag: dict[int, float] = {}
+def suspicions(keys: list[str], by_key: dict[str, list[tuple[int, float]]], flag: dict[int, float], df: np.ndarray, n_docs: int) -> np.ndarray:
+    """Of each sentence, the sum over its three most telling words of how much more frequent flagged documents hold them (log)."""
     words_of: dict[int, set[str]] = {}
     for k in keys:
         for d, y in by_key[k]:
-            flag[d] = y
             if y > 0.5:
                 words_of.setdefault(d, set()).update(k.split(" "))
     n_flagged = max(1, len(words_of))
@@ -367,8 +395,16 @@ def share_flags(keys: list[str], by_key: dict[str, list[tuple[int, float]]], nea
     for ws in words_of.values():
         for w in ws:
             held[w] = held.get(w, 0) + 1
-    tell = {w: math.log((c + 0.5) / (n_flagged * float(df[xxhash.xxh32_intdigest(w) % FEATURES]) / max(1, n_docs) + 0.5)) for w, c in held.items()}
-    suspicion = np.array([sum(sorted((tell.get(w, 0.0) for w in set(k.split(" "))), reverse=True)[:3]) for k in keys])
+    tell = {w: math.log((c + 0.5) / (n_flagged * float(df[bucket(w)]) / max(1, n_docs) + 0.5)) for w, c in held.items()}
+    return np.array([sum(sorted((tell.get(w, 0.0) for w in set(k.split(" "))), reverse=True)[:3]) for k in keys])
+
+
+def share_flags(keys: list[str], by_key: dict[str, list[tuple[int, float]]], flag: dict[int, float], suspicion: np.ndarray, near: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """1 for the sentences that carry their documents' flags, 0 for all others.
+
+    A word speaks for harm where flagged documents hold it more often than all documents do; a sentence by its three most
+    telling words. Where near sentences of other reviewed documents mostly come from documents passed as sound, it is none.
+    """
     docs_of = [{d for d, _ in by_key[k]} for k in keys]
     flagged = np.array([sum(flag[d] > 0.5 for d in docs_of[i]) / len(docs_of[i]) for i in range(len(keys))])
     # flags of the near sentences in other documents, with a prior of half a sentence for the flag at hand
@@ -424,7 +460,7 @@ def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None)
                 rows.append((d, s, round(score, 6), round(m.probability(score), 6) if len(m.texts) else 0.0, where[:300], near))
             yield pd.DataFrame(rows, columns=cols)
 
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
+    docs = spread(documents).where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return docs.mapInPandas(run, "doc_id bigint, source string, score double, probability double, evidence string, nearest_example string")
 
 
