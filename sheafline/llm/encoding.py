@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.session import spread
+
 DICTIONARY_WORDS = 6000
 MIN_COUNT = 2
 #: lazy matching finds the longest matches, optimal parsing avoids those that cost more than they save
@@ -336,7 +338,7 @@ def _fields(docs: DataFrame) -> DataFrame:
     """canon_id, field_name, text of the fields that have characters beyond ASCII; rows given twice once."""
     beyond = "[^\\x00-\\x7F]"
     pairs = F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("text")) for n in ("title", "body_md")])
-    return docs.select(F.col("canon_id").cast("bigint").alias("canon_id"), F.explode(F.filter(pairs, lambda p: p["text"].rlike(beyond))).alias("p")).select("canon_id", "p.field_name", "p.text")
+    return spread(docs).select(F.col("canon_id").cast("bigint").alias("canon_id"), F.explode(F.filter(pairs, lambda p: p["text"].rlike(beyond))).alias("p")).select("canon_id", "p.field_name", "p.text")
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

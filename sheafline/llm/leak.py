@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.session import spread
+
 MIN_WORDS = 13
 SHARD_TOKENS = 400_000
 SAMPLE = 32
@@ -238,7 +240,7 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[t
 
 def leak_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Every place where a document holds at least ``min_words`` consecutive words of an item."""
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
+    docs = spread(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     out = None
     spark = documents.sparkSession
     for block in item_blocks(items):

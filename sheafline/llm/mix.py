@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the public split pattern of that vocabulary (fixed value)
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +63,7 @@ def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [sum(len(x) for p in _pieces(t) for x in [enc.encode_ordinary(p)]) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": sizes})
 
-    docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
+    docs = spread(documents).where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
     return docs.mapInPandas(run, "doc_id bigint, source string, tokens bigint").dropDuplicates(["doc_id"])
 
 

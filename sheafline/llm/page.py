@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.session import spread
+
 #: a subtree is template from so many pages, or from this share of the pages counted
 MIN_PAGES = 3
 HOST_SHARE = 0.005
@@ -163,7 +165,7 @@ PAGE_COLUMNS = ["canon_id", "host", "title", "body_md"]
 
 
 def pages(docs: DataFrame) -> DataFrame:
-    return docs.where(source_format().isin(".html", ".htm") & F.col("body_md").isNotNull() & F.col("canon_id").isNotNull()).select(F.col("canon_id").cast("bigint").alias("canon_id"), host_of().alias("host"), "title", "body_md")
+    return spread(docs).where(source_format().isin(".html", ".htm") & F.col("body_md").isNotNull() & F.col("canon_id").isNotNull()).select(F.col("canon_id").cast("bigint").alias("canon_id"), host_of().alias("host"), "title", "body_md")
 
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
