@@ -36,6 +36,8 @@ DICTIONARY_WORDS = 6000
 MIN_COUNT = 2
 #: lazy matching finds the longest matches, optimal parsing avoids those that cost more than they save
 LEVELS = (6, 16)
+#: bytes of a word (of three letters or more) that is an entry of a dictionary: its place can be told in two, beside what every frame has
+KNOWN = 7
 
 #: chain name -> (steps of (wrong, right), cost in bytes)
 CHAINS: dict[str, tuple[tuple[tuple[str, str], ...], int]] = {
@@ -54,26 +56,26 @@ CHAINS: dict[str, tuple[tuple[tuple[str, str], ...], int]] = {
     "utf8<cp1252<utf8<cp1252": ((("cp1252", "utf-8"), ("cp1252", "utf-8")), 3),
     "utf8<latin-1<utf8<latin-1": ((("latin-1", "utf-8"), ("latin-1", "utf-8")), 3),
     "utf8<cp1252<utf8<latin-1": ((("latin-1", "utf-8"), ("cp1252", "utf-8")), 3),
-    "utf8<mac_roman<utf8<cp1252": ((("cp1252", "utf-8"), ("mac_roman", "utf-8")), 5),
-    "cp1252<mac_roman": ((("mac_roman", "cp1252"),), 6),
-    "mac_roman<cp1252": ((("cp1252", "mac_roman"),), 6),
-    "cp1252<cp850": ((("cp850", "cp1252"),), 6),
-    "cp850<cp1252": ((("cp1252", "cp850"),), 6),
-    "cp1252<cp437": ((("cp437", "cp1252"),), 6),
-    "cp437<cp1252": ((("cp1252", "cp437"),), 6),
-    "cp1252<cp1250": ((("cp1250", "cp1252"),), 6),
-    "cp1250<cp1252": ((("cp1252", "cp1250"),), 6),
-    "iso8859_2<cp1252": ((("cp1252", "iso8859_2"),), 6),
-    "cp1252<cp1251": ((("cp1251", "cp1252"),), 6),
-    "cp1251<cp1252": ((("cp1252", "cp1251"),), 6),
-    "koi8_r<cp1252": ((("cp1252", "koi8_r"),), 6),
-    "koi8_r<cp1251": ((("cp1251", "koi8_r"),), 6),
-    "cp1251<koi8_r": ((("koi8_r", "cp1251"),), 6),
-    "cp866<cp1251": ((("cp1251", "cp866"),), 6),
-    "cp1251<cp866": ((("cp866", "cp1251"),), 6),
-    "cp932<cp1252": ((("cp1252", "cp932"),), 6),
-    "euc_jp<cp1252": ((("cp1252", "euc_jp"),), 6),
-    "gb18030<cp1252": ((("cp1252", "gb18030"),), 6),
+    "utf8<mac_roman<utf8<cp1252": ((("cp1252", "utf-8"), ("mac_roman", "utf-8")), 4),
+    "cp1252<mac_roman": ((("mac_roman", "cp1252"),), 5),
+    "mac_roman<cp1252": ((("cp1252", "mac_roman"),), 5),
+    "cp1252<cp850": ((("cp850", "cp1252"),), 5),
+    "cp850<cp1252": ((("cp1252", "cp850"),), 5),
+    "cp1252<cp437": ((("cp437", "cp1252"),), 5),
+    "cp437<cp1252": ((("cp1252", "cp437"),), 5),
+    "cp1252<cp1250": ((("cp1250", "cp1252"),), 5),
+    "cp1250<cp1252": ((("cp1252", "cp1250"),), 5),
+    "iso8859_2<cp1252": ((("cp1252", "iso8859_2"),), 5),
+    "cp1252<cp1251": ((("cp1251", "cp1252"),), 5),
+    "cp1251<cp1252": ((("cp1252", "cp1251"),), 5),
+    "koi8_r<cp1252": ((("cp1252", "koi8_r"),), 5),
+    "koi8_r<cp1251": ((("cp1251", "koi8_r"),), 5),
+    "cp1251<koi8_r": ((("koi8_r", "cp1251"),), 5),
+    "cp866<cp1251": ((("cp1251", "cp866"),), 5),
+    "cp1251<cp866": ((("cp866", "cp1251"),), 5),
+    "cp932<cp1252": ((("cp1252", "cp932"),), 5),
+    "euc_jp<cp1252": ((("cp1252", "euc_jp"),), 5),
+    "gb18030<cp1252": ((("cp1252", "gb18030"),), 5),
 }
 MULTI_BYTE = {"gb18030", "cp932", "big5", "euc_kr", "euc_jp"}
 LOST = "�"
@@ -238,6 +240,7 @@ class Lengths:
     def __init__(self, dictionaries: dict[str, bytes], levels: tuple[int, ...] = LEVELS):
         parameters = dict(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compressors = []
+        self.entries = {w for raw in dictionaries.values() for w in raw.decode("utf-16-le", "surrogatepass").replace("\x01", "").split(" ") if len(_LETTER.findall(w)) >= 3}
         for level in levels:
             for raw in [*dictionaries.values(), b""]:  # the last: words of no known language
                 own = {"dict_data": zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(raw) >= 8 else {}
@@ -245,6 +248,8 @@ class Lengths:
                 self.compressors.append(zstandard.ZstdCompressor(compression_params=p, **own))
 
     def __call__(self, word: str) -> int:
+        if word in self.entries:
+            return KNOWN
         raw = units(f" {word} ")
         return min(len(c.compress(raw)) for c in self.compressors)
 
@@ -261,14 +266,14 @@ class Judge:
     def savings(self, word: str) -> list[tuple[str, int]]:
         got = self.seen.get(word)
         if got is None:
-            candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (CHAINS[c][1] < 6 or letters(d) <= letters(word))}
+            candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (CHAINS[c][1] < 5 or letters(d) <= letters(word))}
             got = []
             if candidates:
                 own = self.length(word)
                 cost = {d: self.length(d) for d in set(candidates.values())}
                 # one byte set read as another: a mark alone says little, the dictionary must know it well
                 mark = mark_of(word) != word or is_mark(word)
-                got = [(c, own - cost[d]) for c, d in candidates.items() if own - cost[d] > (3 if mark and CHAINS[c][1] >= 6 else 0)]
+                got = [(c, own - cost[d]) for c, d in candidates.items() if own - cost[d] > (3 if mark and CHAINS[c][1] >= 5 else 0)]
             if len(self.seen) >= self.KEEP:
                 self.seen.clear()
             self.seen[word] = got
@@ -312,12 +317,12 @@ class Judge:
                 # words that say nothing by themselves go with a passage that one byte set read as another
                 word = m.group()
                 for chain in used:
-                    if CHAINS[chain][1] >= 6 and _DIGITS.sub("0", word.strip(_EDGE)) not in owner and (d := decode(word, chain)) and self.length(d) <= self.length(word):
+                    if CHAINS[chain][1] >= 5 and _DIGITS.sub("0", word.strip(_EDGE)) not in owner and (d := decode(word, chain)) and self.length(d) <= self.length(word):
                         return d
                 return word
 
             done = _WORD.sub(one, text)
-            if not any(CHAINS[c][1] >= 6 for c in used):
+            if not any(CHAINS[c][1] >= 5 for c in used):
                 return done
             parts = [(m.group(), one(m)) for m in _WORD.finditer(text)]
             left = iter(parts)
@@ -373,7 +378,7 @@ def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count
         if LOST in row.word or _NO_TEXT.search(row.word):
             continue
         own = mark_of(row.word)
-        if any((d := decode(own, c)) and (count.get(d, 0) >= count[own] or (count[own] <= MIN_COUNT and CHAINS[c][1] < 6)) for c in CHAINS):
+        if any((d := decode(own, c)) and (count.get(d, 0) >= count[own] or (count[own] <= MIN_COUNT and CHAINS[c][1] < 5)) for c in CHAINS):
             continue
         by_lang.setdefault(row.lang, []).append((row.n, row.word))
     return {lang: units(" " + " ".join(w for _, w in sorted(ws)) + " ") for lang, ws in by_lang.items()}
