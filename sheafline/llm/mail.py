@@ -30,7 +30,9 @@ THREAD_CHARS = 25
 
 DATE = r"(?:\d{1,4}[./-](?:\d{1,2}|\p{L}{3,9})[./-]\d{2,4}|\d{1,2}\.? (?:de )?\p{L}{3,10}\.?,? (?:de )?\d{4}|\p{L}{3,9} \d{1,2}, \d{4}|\d{1,2}:\d{2})"
 RULE = r"^(?:[-—_=~]{2,}|\*{3,}|\* \* \*|(?:- ){2,}-)$"
-QUOTE = r"^ {0,3}(?:[>»|](?: ?[>»|])*|\p{Lu}{1,2}>(?: ?>)*)"
+#: the quotation mark » under wrong decodings
+GARBLED_MARK = "|".join(sorted({"»".encode().decode(c) for c in ("cp1252", "cp437", "cp1251", "cp1250", "mac_roman")} | {"»".encode("cp1252").decode("cp437"), "Ã‚Â»", "�(?= |$)"}))
+QUOTE = r"^ {0,3}(?:(?:[>»|]|" + GARBLED_MARK + r")(?: ?(?:[>»|]|" + GARBLED_MARK + r"))*|\p{Lu}{1,2}>(?: ?>)*)"
 HEADER = r"^[*_]{0,2}\p{Lu}[^:\s]{0,14} ?[*_]{0,2}:[*_]{0,2} ?\S"
 DEVICE = r"(?iU)^[(\[—-]? ?(?:(?:sent|envoy\S+|gesendet|enviad\S+|inviato|verzonden|wysłan\S+) (?:from|de|depuis|von|vom|aus|desde|do|da|dal|van|unterwegs|mobil)\b|von mein\S+ .*gesendet|typed on (?:a|my)\b|written on (?:a|my) (?:phone|tablet)|mit dem handy)"
 LEGAL = r"(?iU)\b(?:confidential(?:ity)?|confidentiel\S*|confidencial\S*|hace responsable|vertraulich\S*|poufn\S*|privileged|intended (?:recipient|reader|only)|only for the addressee|liability|haftung|registergericht|responsabilit\S*|responsabilidad\S*|registered under no|views expressed|destroy all copies|unlawful|think of the trees|destinataire|destinatario|empfänger bestimmt)\b"

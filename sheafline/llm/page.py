@@ -40,6 +40,7 @@ _HEAD = re.compile(r"^#{1,2} ")
 _LABEL_MARK = re.compile(r"^#{3,6} |^\*\*|\*\*$")
 _END = (".", "!", "?", "…", "。", ":", ";", '."', ".”", "?”", ".)", ".»", ".“")
 _DIGIT = re.compile(r"\d")
+_NO_PLAIN = re.compile("[^a-z0-9\x01]+")
 
 
 def source_format(fmt: str = "source_format", relpath: str = "source_relpath") -> Column:
@@ -63,7 +64,8 @@ def keys(line: str, title: str) -> list[str]:
     text = " ".join(_LABEL_MARK.sub("", line.strip()).split()).lower()
     if title and len(title) > 5 and title in text and text != title:
         text = text.replace(title, "\x01")
-    out = [text]
+    plain = _NO_PLAIN.sub(" ", text).strip()  # the same for any wrong decoding of what is beyond ASCII
+    out = [plain if len(plain) >= 4 else text]
     if _LINK_ROW.match(line.strip()):
         target = _DIGIT.sub("0", _LINK.search(line).group(2))
         out.append("\x02" + re.sub("0+", "0", target))
@@ -149,7 +151,7 @@ def furniture(body: str, title: str | None, template: set[int]) -> list[int]:
         if all(links) and before in ("section", "text") and all(lines[n][0] in "-*+" for n in block) and not any(lines[n].endswith("(#)") for n in block):
             before = "text"
             continue
-        labels = [n for k, n in enumerate(block) if (recurs[n] or link_recurs[n]) and not sentences[k]]
+        labels = [n for k, n in enumerate(block) if (recurs[n] or link_recurs[n] or "](#" in lines[n]) and not sentences[k]]
         rule = any(re.fullmatch(r"[-*_]{3,}", lines[n]) for n in block)
         under_label = before == "label" and not any(sentences)
         if labels or under_label or tail or rule or any(_LABEL_MARK.match(lines[n]) and link for n, link in zip(block, links[1:], strict=False)):
