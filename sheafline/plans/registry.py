@@ -76,19 +76,19 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 # ---- text functions ----------------------------------------------------------------------------------------------
 
-add("p01_words", on(lambda t: t.where("text is not null").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_words"), text.token_estimate(F.col("text")).cast("bigint").alias("token_estimate"), F.sha2(text.squeeze(F.col("text")), 256).alias("squeezed_sha")), "documents"),
+add("fn01_words", on(lambda t: t.where("text is not null").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_words"), text.token_estimate(F.col("text")).cast("bigint").alias("token_estimate"), F.sha2(text.squeeze(F.col("text")), 256).alias("squeezed_sha")), "documents"),
     f"select doc_id, len({WORDS}) as n_words, greatest(1, (len({WORDS}) + 3) // 4) as token_estimate, sha256({SQUEEZED}) as squeezed_sha from documents where text is not null")
-add("p06_description", on(lambda t: t.where("body_md is not null").select("canon_id", text.description(F.col("body_md")).alias("description")), "canonical_docs"),
+add("fn06_description", on(lambda t: t.where("body_md is not null").select("canon_id", text.description(F.col("body_md")).alias("description")), "canonical_docs"),
     "with f as (select canon_id, list_filter(list_transform(string_split(body_md, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '^(#|```|>)'))[1] as d from canonical_docs where body_md is not null) select canon_id, case when length(d) > 120 then substr(d, 1, 117) || '...' else d end as description from f")
-add("p07_path_tags", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.array_join(text.path_tags(F.col("source_relpath")), ",").alias("tags")), "canonical_docs"),
+add("fn07_path_tags", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.array_join(text.path_tags(F.col("source_relpath")), ",").alias("tags")), "canonical_docs"),
     "with p as (select canon_id, list_filter(string_split(lower(regexp_extract(source_relpath, '^(.*)/[^/]*$', 1)), '/'), lambda x: x <> '') || list_filter([lower(regexp_extract(source_relpath, '\\.([^./]+)$', 1))], lambda x: x <> '') as t from canonical_docs where source_relpath is not null), u as (select canon_id, unnest(t) as tag, generate_subscripts(t, 1) as i from p), g as (select canon_id, tag, min(i) as i from u group by all) select p.canon_id, coalesce(string_agg(tag, ',' order by g.i), 'document') as tags from p left join g using (canon_id) group by p.canon_id")
-add("p10_slug", on(lambda t: t.where("title is not null").select("canon_id", text.slug(F.col("title")).alias("slug")), "canonical_docs"),
+add("fn10_slug", on(lambda t: t.where("title is not null").select("canon_id", text.slug(F.col("title")).alias("slug")), "canonical_docs"),
     "select canon_id, substr(regexp_replace(regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g'), '^[_.-]+|[_.-]+$', '', 'g'), 1, 80) as slug from canonical_docs where title is not null")
-add("p17_entities", on(lambda t: t.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", "[^\\x00-\\x7F]", "_"), F.lit(text.ENTITY), F.lit(0)))).alias("entity")), "documents"),
+add("fn17_entities", on(lambda t: t.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", "[^\\x00-\\x7F]", "_"), F.lit(text.ENTITY), F.lit(0)))).alias("entity")), "documents"),
     "with e as (select doc_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b') as x from documents where text is not null) select distinct doc_id, unnest(x) as entity from e")
-add("p22_trust_badge", on(lambda t: t.select("canon_id", quality.trust_badge(F.col("okf_verified"), F.col("okf_status"), F.col("okf_stale_after"), NOW).alias("badge")), "canonical_docs"),
+add("fn22_trust_badge", on(lambda t: t.select("canon_id", quality.trust_badge(F.col("okf_verified"), F.col("okf_status"), F.col("okf_stale_after"), NOW).alias("badge")), "canonical_docs"),
     f"select canon_id, case when okf_status = 'deprecated' then 'deprecated' when okf_stale_after <= '{NOW}' then 'stale' when okf_verified like 'human:%' and okf_verified <> 'human:pending' then 'human-reviewed' when okf_verified like 'process:%' then 'machine-confirmed' else 'unverified' end as badge from canonical_docs")
-add("p27_glob", on(lambda t: t.where(F.regexp_extract("source_relpath", "([^/]+)$", 1).rlike(text.glob_regex("*-0000000[0-9]?.pdf"))).select("canon_id", "source_relpath"), "canonical_docs"),
+add("fn27_glob", on(lambda t: t.where(F.regexp_extract("source_relpath", "([^/]+)$", 1).rlike(text.glob_regex("*-0000000[0-9]?.pdf"))).select("canon_id", "source_relpath"), "canonical_docs"),
     "select canon_id, source_relpath from canonical_docs where regexp_matches(regexp_extract(source_relpath, '([^/]+)$', 1), '^.*-0000000[0-9].\\.pdf$')")
 
 # ---- cleanup stages ----------------------------------------------------------------------------------------------
@@ -438,7 +438,7 @@ add("s04_inspect", lambda s, d: adapters.inspected(table(s, d, "documents").sele
 add("k03_concept_files", on(lambda t: emit.concept_files(t).select("path", F.length("text").cast("bigint").alias("n")), "canonical_docs"))
 add("k04_wiki_fields", on(emit.wiki_fields, "canonical_docs"), "select canon_id, replace(source_uri, ':', '_') as source, source_sha256 as sha256, replace(okf_generated, ':', '_') as generated_by, replace(okf_verified, ':', '_') as verified_by, okf_stale_after as stale_on from canonical_docs")
 add("k12_webhook", _runs(emit.webhook_payload))
-add("p12_cells", lambda s, d: diff.cells(_orders(s, d), "concept_id", "body").groupBy("concept_id").agg(F.count("*").alias("n_cells"), F.max("row").cast("bigint").alias("last_row")),
+add("fn12_cells", lambda s, d: diff.cells(_orders(s, d), "concept_id", "body").groupBy("concept_id").agg(F.count("*").alias("n_cells"), F.max("row").cast("bigint").alias("last_row")),
     "select 'orders/' || o_orderkey || '.md' as concept_id, 3 * (count(l_orderkey) + 1) as n_cells, count(l_orderkey) as last_row from orders join customer on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
 
 
@@ -496,11 +496,11 @@ def _engine_deltas(s: SparkSession, d: str) -> DataFrame:
 
 add("q19_deltas", _engine_deltas,
     f"with {RUNS}, m as (select engine, finished_at >= timestamp '2025-01-01' as late, avg(duration_seconds) as seconds, avg(confidence) as confidence from runs where engine is not null group by all), j as (select c.engine, c.seconds - b.seconds as s, c.confidence - b.confidence as k from m c join m b using (engine) where c.late and not b.late) select engine, 'seconds' as metric, round(s, 6) as delta from j union all select engine, 'confidence', round(k, 6) from j")
-add("p20_uri_path", on(lambda t: t.where("source_uri is not null").select("canon_id", F.regexp_replace("source_uri", "^[a-z]+://[^/]*/", "").alias("path")), "canonical_docs"),
+add("fn20_uri_path", on(lambda t: t.where("source_uri is not null").select("canon_id", F.regexp_replace("source_uri", "^[a-z]+://[^/]*/", "").alias("path")), "canonical_docs"),
     "select canon_id, regexp_replace(source_uri, '^[a-z]+://[^/]*/', '') as path from canonical_docs where source_uri is not null")
-add("p24_node_size", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.greatest(F.lit(24), F.least(F.lit(70), 24 + F.floor(F.length(F.coalesce("body_md", F.lit(""))) / 200))).cast("bigint").alias("size"), F.when(F.col("source_relpath").contains("/"), F.substring_index("source_relpath", "/", 1)).otherwise("(root)").alias("grp")), "canonical_docs"),
+add("fn24_node_size", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.greatest(F.lit(24), F.least(F.lit(70), 24 + F.floor(F.length(F.coalesce("body_md", F.lit(""))) / 200))).cast("bigint").alias("size"), F.when(F.col("source_relpath").contains("/"), F.substring_index("source_relpath", "/", 1)).otherwise("(root)").alias("grp")), "canonical_docs"),
     "select canon_id, greatest(24, least(70, 24 + length(coalesce(body_md, '')) // 200)) as size, case when contains(source_relpath, '/') then split_part(source_relpath, '/', 1) else '(root)' end as grp from canonical_docs where source_relpath is not null")
-add("p29_confidence", on(lambda r: r.select("result_id", benchmark.confidence(F.col("status") == "ok", F.col("engine").isNotNull(), F.coalesce(F.col("confidence") > 0.5, F.lit(False)), F.size("diagnostics") == 0, F.exists("diagnostics", lambda x: x["code"] == "OCR_LOW")).alias("score")).distinct(), "run_results"),
+add("fn29_confidence", on(lambda r: r.select("result_id", benchmark.confidence(F.col("status") == "ok", F.col("engine").isNotNull(), F.coalesce(F.col("confidence") > 0.5, F.lit(False)), F.size("diagnostics") == 0, F.exists("diagnostics", lambda x: x["code"] == "OCR_LOW")).alias("score")).distinct(), "run_results"),
     "select distinct result_id, round(case when status = 'ok' then 0.4 else 0 end + case when engine is not null then 0.3 else 0 end - case when engine is not null and len(list_filter(diagnostics, lambda x: x.code = 'OCR_LOW')) > 0 then 0.1 else 0 end + case when coalesce(confidence > 0.5, false) then 0.2 else 0 end + case when len(diagnostics) = 0 then 0.1 else 0 end::double, 6)::double as score from run_results")
 add("s11_bundles", lambda s, d: table(s, d, "bundle_registry").join(table(s, d, "canonical_docs").groupBy(F.col("bundle").alias("slug")).agg(F.count("*").alias("n_docs")), "slug", "left").select("slug", "bundle_path", F.coalesce("n_docs", F.lit(0)).alias("n_docs")),
     "select slug, bundle_path, count(canon_id) as n_docs from bundle_registry left join canonical_docs on bundle = slug group by all")
@@ -508,3 +508,32 @@ add("k01_rendered", on(lambda t: concepts.blocks(t.where("body_md is not null"),
 add("h05_provenance", on(lambda t: t.where(F.col("source_sha256").rlike(text.SHA256) & F.col("source_uri").isNotNull()).groupBy("source_sha256").agg(F.min("source_uri").alias("source_uri"), F.countDistinct("source_uri").alias("n_uris")), "canonical_docs"),
     "select source_sha256, min(source_uri) as source_uri, count(distinct source_uri) as n_uris from canonical_docs where regexp_full_match(source_sha256, '[0-9a-f]{64}') and source_uri is not null group by 1")
 add("u02_lost_chunks", lambda s, d: _chunks(s, d).select("source_sha256").distinct().exceptAll(table(s, d, "canonical_docs").select("source_sha256").distinct()), "select distinct source_sha256 from chunks where source_sha256 is not null except select source_sha256 from canonical_docs")
+
+# ---- reviews, snapshots of states, joins the front ends use --------------------------------------------------------
+
+from sheafline.operators import review  # noqa: E402
+
+
+def _review_log(e: DataFrame) -> DataFrame:
+    action = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "decide").when(F.col("event_type") == "error", "suppress")
+    return review.fold(e.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 3).alias("reviewer")).where("action is not null"))
+
+
+add("q13_review_log", on(_review_log, "events"),
+    "with e as (select user_id as item, event_id as seq, case event_type when 'click' then 'claim' when 'purchase' then 'decide' when 'error' then 'suppress' end as action, event_id % 3 as reviewer from events where event_type in ('click', 'purchase', 'error')), c as (select item, arg_min(reviewer, seq) as holder, min(seq) as claimed_at from e where action = 'claim' group by item), v as (select e.*, holder, coalesce(action = 'suppress' or (reviewer = holder and seq >= claimed_at), false) as valid from e left join c using (item)) select item, case when bool_or(valid and action = 'suppress') then 'suppressed' when bool_or(valid and action = 'decide') then 'decided' when bool_or(valid and action = 'claim') then 'claimed' else 'open' end as state, max(holder) as reviewer, count(*) filter (where not valid) as rejected from v group by item")
+add("q15_evidence", lambda s, d: review.evidence_packet(table(s, d, "canonical_docs"), _chunks(s, d)).select("canon_id", "id", "page"),
+    f"with {DELIVERED}, j as (select canon_id, id, citation.page as page, row_number() over (partition by canon_id order by ordinal, id) as r from canonical_docs d join delivered c on c.source_sha256 = d.source_sha256 where okf_verified = 'human:pending') select canon_id, id, page from j where r <= 5")
+add("j04_index_vs_docs", lambda s, d: _chunks(s, d).groupBy("source_sha256").agg(F.count("*").alias("n_chunks")).join(table(s, d, "canonical_docs").groupBy("source_sha256").agg(F.count("*").alias("n_docs")), "source_sha256", "full_outer").groupBy(F.col("n_chunks").isNull().alias("no_chunks"), F.col("n_docs").isNull().alias("no_docs")).agg(F.count("*").alias("n")),
+    f"with {DELIVERED}, c as (select source_sha256, count(*) as n from delivered group by 1), t as (select source_sha256, count(*) as n from canonical_docs group by 1) select c.n is null as no_chunks, t.n is null as no_docs, count(*) as n from c full join t using (source_sha256) group by all")
+add("w02_heading_steps", on(lambda t: _heading_steps(t), "canonical_docs"),
+    f"with {_LINES_SQL}, h as (select canon_id, line_no, length(regexp_extract(line, '^(#{{1,6}})\\s', 1)) as lv from lines), k as (select canon_id, lv - lag(lv) over (partition by canon_id order by line_no) as step from h where lv > 0) select step, count(*) as n from k where step is not null group by step")
+
+
+def _heading_steps(docs: DataFrame) -> DataFrame:
+    """How often each step between the levels of consecutive headings occurs."""
+    from pyspark.sql import Window
+
+    lines = docs.where("body_md is not null").select("canon_id", F.posexplode(F.split("body_md", "\n")).alias("line_no", "line"))
+    heads = lines.withColumn("level", F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1))).where("level > 0")
+    step = F.col("level") - F.lag("level").over(Window.partitionBy("canon_id").orderBy("line_no"))
+    return heads.withColumn("step", step.cast("bigint")).where("step is not null").groupBy("step").agg(F.count("*").alias("n"))
