@@ -469,11 +469,12 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
 
     from sheafline.session import checkpoint_dir
 
-    name = "debounced_" + uuid.uuid4().hex[:12]
+    folder = f"{checkpoint_dir(s)}/debounced_{uuid.uuid4().hex[:12]}"
     events = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    q = watch.debounced(events, late="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{checkpoint_dir(s)}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name).groupBy("user_id").agg(F.count("*").alias("n_batches"), F.sum("n").alias("n_events"))
+    # complete results go to the shared folder, not to the driver's memory
+    save = lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")
+    watch.debounced(events, late="3650 days").writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("n_batches"), F.sum("n").alias("n_events"))
 
 
 add("y01_stream_debounce", _stream, _SQL["y02_debounce_sessions"])
@@ -537,3 +538,23 @@ def _heading_steps(docs: DataFrame) -> DataFrame:
     heads = lines.withColumn("level", F.length(F.regexp_extract("line", "^(#{1,6})\\s", 1))).where("level > 0")
     step = F.col("level") - F.lag("level").over(Window.partitionBy("canon_id").orderBy("line_no"))
     return heads.withColumn("step", step.cast("bigint")).where("step is not null").groupBy("step").agg(F.count("*").alias("n"))
+
+
+def _scored_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Edit similarity of a document's first and last conversion; candidate pairs are given, none are enumerated."""
+    docs = table(s, d, "canonical_docs").where("body_md is not null and source_relpath is not null")
+    g = docs.groupBy("source_relpath").agg(F.min("canon_id").alias("a"), F.max("canon_id").alias("b"), F.min_by("body_md", "canon_id").alias("left_content"), F.max_by("body_md", "canon_id").alias("right_content"), F.min_by("title", "canon_id").alias("left_title"), F.max_by("title", "canon_id").alias("right_title")).where("a < b")
+    return dedupe.similarity_scores(g.select(F.col("a").cast("string").alias("left_id"), F.col("b").cast("string").alias("right_id"), "left_content", "right_content", "left_title", "right_title"), ("content", "title"))
+
+
+add("d03_edit_similarity", _scored_pairs)
+
+
+def _planned(s: SparkSession, d: str) -> DataFrame:
+    files = table(s, d, "canonical_docs").where("source_relpath is not null").select(F.col("source_relpath").alias("relpath"), F.encode(F.coalesce("title", F.lit("")), "UTF-8").alias("content"))
+    return adapters.extract_planned(files, {"pdf": ["txt"], "office": ["txt"], "odf": ["txt"]}).groupBy("engine", "status", F.size("attempts").alias("n_attempts")).agg(F.count("*").alias("n"))
+
+
+add("a20_planned_adapters", _planned)
+add("a21_normalized", lambda s, d: adapters.normalize(_extracted(s, d, "customer", F.concat(F.lit("txt/"), _STR("c_custkey"), F.lit(".txt")), F.col("c_name")), table(s, d, "customer").select(F.concat(F.lit("txt/"), _STR("c_custkey"), F.lit(".txt")).alias("relpath"), F.sha2("c_name", 256).alias("sha256"))).select("relpath", "title", "source_format", "source_sha256", "body_md"),
+    "select 'txt/' || c_custkey || '.txt' as relpath, cast(c_custkey as varchar) as title, '.txt' as source_format, sha256(c_name) as source_sha256, '```text' || chr(10) || c_name || chr(10) || '```' || chr(10) as body_md from customer")

@@ -442,6 +442,48 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("relpath", "content").mapInPandas(run, EXTRACT_SCHEMA)
 
 
+def attempt(path: str, content: bytes, fallbacks: dict[str, list[str]]) -> tuple[str | None, list[Record], list[dict[str, str]]]:
+    """(engine, records, attempts): the file's engine, then its fallbacks; only an AdapterError leads to the next."""
+    first = engine_of(path)
+    stem = path.rpartition("/")[2].rpartition(".")[0] or path
+    attempts: list[dict[str, str]] = []
+    for name in [] if first is None else [first, *fallbacks.get(first, [])]:
+        try:
+            records = list(REGISTRY[name][1](content, stem))
+            attempts.append({"engine": name, "outcome": "ok", "reason": ""})
+            return name, records, attempts
+        except AdapterError as e:
+            attempts.append({"engine": name, "outcome": "failed", "reason": str(e)[:200]})
+        except Exception as e:  # noqa: BLE001 - a defect of an adapter ends the file, not the job
+            attempts.append({"engine": name, "outcome": "failed", "reason": f"{type(e).__name__}: {e}"[:200]})
+            break
+    return None, [], attempts
+
+
+def extract_planned(files: DataFrame, fallbacks: dict[str, list[str]]) -> DataFrame:
+    """As extract, with fallback engines and the attempts of each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["relpath"], batch["content"], strict=True):
+                engine, records, attempts = attempt(path, bytes(content or b""), fallbacks)
+                status = "ok" if records else "failed" if attempts else "skipped"
+                for n, r in enumerate(records or [Record(None, "")]):
+                    rows.append((path, n, engine, status, r.title, r.body_md if records else None, attempts))
+            yield pd.DataFrame(rows, columns=["relpath", "message_index", "engine", "status", "title", "body_md", "attempts"])
+
+    return files.select("relpath", "content").mapInPandas(run, "relpath string, message_index int, engine string, status string, title string, body_md string, attempts array<struct<engine:string,outcome:string,reason:string>>")
+
+
+def normalize(extracted: DataFrame, files: DataFrame) -> DataFrame:
+    """Extracted records as canonical documents: default title, format, identity and address of the source."""
+    stem = F.regexp_replace(F.regexp_extract("relpath", "([^/]+)$", 1), "\\.[^.]+$", "")
+    suffix = F.lower(F.regexp_extract("relpath", "(\\.[^./]+)$", 1))
+    ok = extracted.where("status = 'ok'").join(files.select("relpath", F.col("sha256").alias("source_sha256")), "relpath")
+    return ok.select("relpath", "message_index", F.coalesce(F.nullif(F.trim("title"), F.lit("")), stem).alias("title"), F.coalesce("body_md", F.lit("")).alias("body_md"), "engine", suffix.alias("source_format"), "source_sha256", F.concat(F.lit("file:///"), "relpath").alias("source_uri"), "metadata", "attachments")
+
+
 # ---- inspection and archives -------------------------------------------------------------------------------------
 
 _DECLARED = {".zip": "zip", ".docx": "zip", ".xlsx": "zip", ".pptx": "zip"}
