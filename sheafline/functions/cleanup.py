@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from sheafline.functions.text import LIGATURES, QUOTES, replace_all
 
-#: lines that keep their breaks
+#: lines that keep their breaks (fixed pattern)
 _STRUCTURE = re.compile(r"^\s*(?:#{1,6}\s|>\s|[-*+]\s|\d+\.\s|\||```)")
 
 

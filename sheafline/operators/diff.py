@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sheafline.sources.adapters import AdapterError  # noqa: F401 - the error type of broken inputs
 
+#: kinds of blocks and how they begin (fixed patterns)
 _KINDS = (("heading", r"^#{1,6}\s"), ("table", r"^\|"), ("code", r"^```"), ("list", r"^(?:[-*+]\s|\d+\.\s)"), ("attachment_ref", r"^!?\[[^\]]*\]\([^)]+\)$"))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from sheafline.functions.text import SHA256
 
 SECRET = "\\bsk-[A-Za-z0-9_-]{20,}\\b"
-#: profile -> (needs review below, ready from)
+#: profile -> (needs review below, ready from) (fixed values)
 PROFILES = {"default": (0.5, 0.85), "rag": (0.6, 0.9), "publication": (0.7, 0.95)}
-#: rule packs: name -> (parents, rules of (id, severity, condition))
+#: rule packs: name -> (parents, rules of (id, severity, condition)) (fixed values)
 PACKS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, str, str], ...]]] = {
     "research": ((), (("sources-required", "error", "sources.missing"), ("review-pending", "warning", "verified.pending"))),
     "legal-hold": ((), (("sources-required", "error", "sources.missing"), ("review-pending", "error", "verified.pending"))),

@@ -226,6 +226,7 @@ def json_file(content: bytes, stem: str) -> Iterator[Record]:
     yield Record(title, f"{head}```json\n{json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False)}\n```\n")
 
 
+#: headers shown of a mail (fixed values)
 _HEADERS = ("From", "To", "Cc", "Subject", "Date", "Message-ID", "Reply-To")
 
 
@@ -486,6 +487,7 @@ def normalize(extracted: DataFrame, files: DataFrame) -> DataFrame:
 
 # ---- inspection and archives -------------------------------------------------------------------------------------
 
+#: suffixes that must be archives (fixed values)
 _DECLARED = {".zip": "zip", ".docx": "zip", ".xlsx": "zip", ".pptx": "zip"}
 
 
