@@ -264,6 +264,8 @@ class Judge:
         self.seen: dict[str, list[tuple[str, int]]] = {}
 
     def savings(self, word: str) -> list[tuple[str, int]]:
+        if word in self.length.entries:
+            return []  # nothing has a shorter description
         got = self.seen.get(word)
         if got is None:
             candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (CHAINS[c][1] < 5 or letters(d) <= letters(word))}
