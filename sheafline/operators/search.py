@@ -187,28 +187,64 @@ def match(chunks: DataFrame, query: str, text: str = "text") -> DataFrame:
     return chunks.where(F.element_at(F.transform(F.array(terms(F.col(text))), lambda ts: _holds(tree, ts)), 1))
 
 
+def _once(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _phrases(node: Node, ts: Column) -> list[tuple[Column, Column]]:
+    """(does the text hold it, its hits) of each term and phrase that isn't negated. As in FTS5, NEAR counts the hits within
+    its distance only, and a branch of OR counts only where it holds as a whole."""
+    if node.op == "and":
+        return _phrases(node.args[0], ts) + _phrases(node.args[1], ts)
+    if node.op == "not":
+        return _phrases(node.args[0], ts)
+    if node.op == "or":
+        return [(has, F.when(_holds(a, ts), n).otherwise(0)) for a in node.args for has, n in _phrases(a, ts)]
+    if node.op == "near":
+        ws, dist = node.args
+        wide = dist + len(ws)
+        every = lambda part: F.forall(F.array(*[F.lit(w) for w in ws]), lambda w: F.array_contains(part, w))
+        places = F.transform(ts, lambda x, i: F.when(x.isin(*ws), i))
+        starts = F.filter(places, lambda p: p.isNotNull() & every(F.slice(ts, p + 1, wide)))
+        near = lambda w: _once(starts, lambda at: F.size(F.filter(F.transform(ts, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull() & F.exists(at, lambda p: (p <= i) & (i < p + wide)))))
+        return [(F.array_contains(ts, w), near(w)) for w in ws]
+    if node.op == "phrase":
+        k = len(node.args)
+        hits = F.size(F.filter(F.transform(ts, lambda x, i: F.when(x == node.args[0], F.slice(ts, i + 1, k))), lambda part: F.coalesce(part == F.array(*[F.lit(w) for w in node.args]), F.lit(False))))
+    elif node.op == "prefix":
+        hits = F.size(F.filter(ts, lambda x: x.startswith(node.args[0])))
+    elif node.op == "first":
+        hits = _holds(node, ts).cast("int")
+    else:
+        hits = F.size(F.filter(ts, _same(node.args[0])))
+    return [(_holds(node, ts), hits)]
+
+
+def ranked(chunks: DataFrame, query: str, keys: tuple[str, ...] = ("id",), text: str = "text") -> DataFrame:
+    """keys, score of every chunk the query matches; smaller is better."""
+    tree = parse(query)
+
+    def counted(ts: Column) -> Column:
+        parts = _phrases(tree, ts)
+        return F.struct(F.size(ts).alias("dl"), _holds(tree, ts).alias("hit"), F.array(*[has for has, _ in parts]).alias("has"), F.array(*[n for _, n in parts]).alias("tf"))
+
+    width = len(_phrases(tree, F.lit(None)))
+    rows = chunks.where(F.col(text).isNotNull()).select(*keys, _once(terms(F.col(text)), counted).alias("c")).select(*keys, "c.*")
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.get("has", F.lit(i)).cast("bigint")).alias(f"df{i}") for i in range(width)])  # one row
+    norm = 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl"))
+    tf = lambda i: F.get("tf", F.lit(i))
+    score = sum((idf(F.col("n"), F.col(f"df{i}")) * (tf(i) * 2.2) / (tf(i) + norm) for i in range(width)), F.lit(0.0))
+    return rows.where("hit").crossJoin(F.broadcast(stats)).select(*keys, (-score).alias("score"))
+
+
 def search(chunks: DataFrame, query: str, limit: int = 20, key: str = "id", tie: tuple[str, ...] = ("concept_id", "ordinal")) -> DataFrame:
-    """The best chunks by BM25 over the query's positive terms, ties by path and ordinal."""
+    """The best chunks by BM25 summed over the query's positive terms and phrases, ties by path and ordinal."""
     if limit <= 0:
         raise ValueError("limit must be positive")
     if not query.strip():
         return chunks.select(key, *tie).withColumn("score", F.lit(0.0)).limit(0)
-    words: list[str] = []
-
-    def gather(n: Node) -> None:
-        for a in n.args[:1] if n.op == "not" else n.args:
-            if isinstance(a, Node):
-                gather(a)
-            elif isinstance(a, str) and n.op != "prefix":
-                words.append(a)
-
-    tree = parse(query)
-    gather(tree)
-    hits = match(chunks, query)
-    if not words or tree.op not in ("term", "and"):
-        return hits.select(key, *tie).withColumn("score", F.lit(0.0)).orderBy(*tie).limit(limit)
-    scored = bm25(chunks, words, key)
-    return hits.select(key, *tie).join(scored, key).orderBy("score", *tie).limit(limit)
+    return ranked(chunks, query, (key, *tie)).orderBy("score", *tie).limit(limit)
 
 
 def substring_hits(concepts: DataFrame, needle: str, columns: tuple[str, ...]) -> DataFrame:

@@ -66,6 +66,23 @@ def _match_sql(cond: str) -> str:
     return f"with {DELIVERED}, toks as (select id, {TERMS} as ts from delivered where text is not null) select id from toks where {cond}"
 
 
+def _top_sql(hits: list[str], cond: str, limit: int = 20) -> str:
+    """The best chunks by BM25; ``hits`` count a word or phrase in ts, ``cond`` says over tf0, tf1, ... which chunks match."""
+    tf = ", ".join(f"{h} as tf{i}" for i, h in enumerate(hits))
+    df = ", ".join(f"count(*) filter (where tf{i} > 0) as df{i}" for i in range(len(hits)))
+    idf = lambda i: f"(case when ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 then 1e-6 else ln((n - df{i} + 0.5) / (df{i} + 0.5)) end)"
+    score = " + ".join(f"{idf(i)} * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(hits)))
+    return f"with {DELIVERED}, toks as (select id, concept_id, ordinal, {TERMS} as ts from delivered where text is not null and concept_id is not null), l as (select id, concept_id, ordinal, len(ts) as dl, {tf} from toks), s as (select count(*) as n, avg(dl) as avgdl, {df} from l), r as (select id, -({score}) as score, concept_id, ordinal from l, s where {cond}) select id, round(score, 6) as score, concept_id, ordinal from r order by r.score, concept_id, ordinal limit {limit}"
+
+
+def _word_hits(word: str) -> str:
+    return f"len(list_filter(ts, lambda x: x = '{word}'))"
+
+
+def _phrase_hits(words: list[str]) -> str:
+    return f"len(list_filter(range(1, len(ts) + 1), lambda i: ts[i:i + {len(words) - 1}] = [{', '.join(repr(w) for w in words)}]))"
+
+
 def _chunks(s: SparkSession, d: str) -> DataFrame:
     return concepts.delivered(table(s, d, "chunks"))
 
@@ -139,6 +156,12 @@ add("x01_postings", lambda s, d: search.postings(_chunks(s, d)).groupBy("id").ag
 for _name, _words in (("single", ["ledger"]), ("multi", ["scanned", "ledger", "cabinet"])):
     add(f"x05_bm25_{_name}", lambda s, d, w=_words: search.bm25(_chunks(s, d), w).select("id", F.round("score", 6).alias("score")), _bm25_sql(_words))
 add("x09_top20", lambda s, d: search.search(_chunks(s, d).where("concept_id is not null"), "ledger cabinet", 20).select("id", F.round("score", 6).alias("score"), "concept_id", "ordinal"))
+for _name, _query, _hits, _cond in (
+    ("or", "Feuchtigkeit OR humidity OR cabinet", [_word_hits("feuchtigkeit"), _word_hits("humidity"), _word_hits("cabinet")], "tf0 > 0 or tf1 > 0 or tf2 > 0"),
+    ("phrase", '"scanned ledger"', [_phrase_hits(["scanned", "ledger"])], "tf0 > 0"),
+    ("nested", "ledger (cabinet OR archive)", [_word_hits("ledger"), _word_hits("cabinet"), _word_hits("archive")], "tf0 > 0 and (tf1 > 0 or tf2 > 0)"),
+):
+    add(f"x09_{_name}20", lambda s, d, q=_query: search.search(_chunks(s, d).where("concept_id is not null"), q, 20).select("id", F.round("score", 6).alias("score"), "concept_id", "ordinal"), _top_sql(_hits, _cond))
 for _name, _query, _cond in (
     ("and", "ledger AND cabinet", "list_contains(ts, 'ledger') and list_contains(ts, 'cabinet')"),
     ("or", "Feuchtigkeit OR humidity", "list_contains(ts, 'feuchtigkeit') or list_contains(ts, 'humidity')"),

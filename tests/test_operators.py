@@ -88,6 +88,14 @@ def test_search_limits_and_errors(little):
             search.parse(bad)
 
 
+@pytest.mark.parametrize("query", ["fox OR sleeps", "fox AND (quick OR sleeps)", "dog NOT fox", "dog NOT (fox AND lazy)", '"quick fox" OR sleeps', '"a fox"', "qui*", "^quick OR brown", "sleeps OR (fox AND lazy)", "NEAR(fox dog, 3)", "NEAR(a fox, 1) OR brown", "fox OR fox"])
+def test_ranks_of_every_query_follow_fts5(little, query):
+    want = fts(query)
+    got = search.search(little, query, 20).collect()
+    assert {r.id: r.score for r in got} == pytest.approx(want, rel=1e-9)
+    assert [r.id for r in search.search(little, query, 2).collect()] == [r.id for r in got][:2] and [r.score for r in got] == sorted(r.score for r in got)
+
+
 def test_index_delta(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "id string, hash string")
     new = spark.createDataFrame([("b", "2"), ("c", "4"), ("d", "5")], "id string, hash string")
