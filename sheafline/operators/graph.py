@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import entities, joined_id, link_target, links, squeeze
-from sheafline.session import cut
+from sheafline.session import cut, spread
 
 
 def _topic(kind: str, label) -> object:
@@ -89,17 +96,103 @@ def orphans(concepts: DataFrame, links_: DataFrame, key: str = "concept_id") ->
     return concepts.select(key).join(ends, key, "left_anti")
 
 
+def _whole_word(mention: str) -> re.Pattern:
+    """A title as a word of its own, in any case; not at the start of a link's text or target, nor within a path."""
+    return re.compile(rf"(?<![(\[A-Za-z0-9_./\-])\b{re.escape(mention)}\b(?![A-Za-z0-9_./\-])", re.IGNORECASE)
+
+
+_WORDS = re.compile(r"[^\W_]+")
+_DOTS = str.maketrans("İı", "ii")
+#: bits of the filter of title beginnings; more titles only make it let more through
+TITLE_BITS = 1 << 26
+
+
+def _folded(text: str) -> list[str]:
+    """Words under a fold that holds together whatever a regex without case does."""
+    return _WORDS.findall(text.translate(_DOTS).casefold())
+
+
+def _filter_of(titles: DataFrame) -> np.ndarray:
+    """Bits of the hashes of the beginnings (shown) by words, and of whole titles with an end mark; of fixed size."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = set()
+            for shown in batch["shown"]:
+                h = 0
+                for w in _folded(shown):
+                    h = crc32(w.encode() + b" ", h)
+                    out.add(h % TITLE_BITS)
+                out.add(crc32(b"\0", h) % TITLE_BITS)
+            yield pd.DataFrame({"bit": sorted(out)})
+
+    at = titles.select("shown").mapInPandas(bits, "bit bigint")
+    rows = at.groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("v")).collect()  # at most TITLE_BITS / 8
+    out = np.zeros(TITLE_BITS // 8, np.uint8)
+    for r in rows:
+        out[r.byte] = r.v
+    return out
+
+
 def linkify(concepts: DataFrame, body: str = "body", key: str = "concept_id", title: str = "title", min_title: int = 3) -> DataFrame:
-    """Bodies with the first whole-word mention of another concept's title turned into a link.
+    """key, body, mentions (path, shown): bodies with the whole-word mentions of other concepts' titles turned into
+    ``[title](path)``, one title after the other in the order of the paths; of equal titles the last path is linked. Bodies
+    that change only.
 
-    Titles meet bodies through their rarest word, not by a cross product.
+    Titles meet bodies through their word sequences, not by a cross product: a filter lets through what may be a title, a join
+    decides. A title without a word, or only in a path just linked, isn't mentioned.
     """
-    from sheafline.functions.text import terms
-
-    words = concepts.select(F.col(key).alias("k"), F.explode(F.array_distinct(terms(F.col(body)))).alias("w"))
-    titled = concepts.where(F.length(title) >= min_title).groupBy(F.lower(title).alias("t")).agg(F.max(key).alias("path"), F.max(title).alias("shown"))
-    tw = titled.select("t", "path", "shown", F.explode(F.array_distinct(terms(F.col("t")))).alias("w"))
-    freq = words.groupBy("w").agg(F.count("*").alias("n"))
-    rare = tw.join(freq, "w", "left").groupBy("t", "path", "shown").agg(F.min_by("w", F.coalesce("n", F.lit(0))).alias("w"))
-    pairs = words.join(rare, "w").where("k <> path").join(concepts.select(F.col(key).alias("k"), F.lower(body).alias("low")), "k").where(F.col("low").contains(F.col("t")))
-    return pairs.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("path", "shown"))).alias("mentions")).withColumnRenamed("k", key)
+    held = concepts.select(F.col(key).alias("k"), F.col(body).alias("text")).where("k is not null and text is not null")
+    stripped = F.regexp_replace(F.col(title), "(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$", "")
+    placed = concepts.where(F.col(key).isNotNull()).select(stripped.alias("shown"), F.split(key, "/").alias("parts")).where(F.length("shown") >= min_title)
+    titled = placed.groupBy("shown").agg(F.min("parts").alias("first"), F.array_join(F.max("parts"), "/").alias("path"))
+    shared = concepts.sparkSession.sparkContext.broadcast(_filter_of(titled))
+
+    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["words"] = [" ".join(_folded(t)) for t in batch["shown"]]
+            yield batch
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value.tobytes()
+
+        def there(h: int) -> int:
+            h %= TITLE_BITS
+            return bits[h >> 3] >> (h & 7) & 1
+
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch["k"], batch["text"], strict=True):
+                words = _folded(text)
+                coded = [w.encode() + b" " for w in words]
+                hits = set()
+                for i in range(len(words)):
+                    h = 0
+                    for j in range(i, len(words)):
+                        h = crc32(coded[j], h)
+                        if not there(h):
+                            break
+                        if there(crc32(b"\0", h)):
+                            hits.add(" ".join(words[i : j + 1]))
+                rows.extend((k, w) for w in hits)
+            yield pd.DataFrame(rows, columns=["k", "words"])
+
+    whole = titled.select("shown", "first", "path").mapInPandas(sequences, "shown string, first array<string>, path string, words string").where("words <> ''")
+    offers = spread(held).mapInPandas(runs, "k string, words string").join(whole, "words").where("k <> path").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "shown", "path"))).alias("offers"))
+
+    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pattern = lru_cache(maxsize=20_000)(_whole_word)
+        for batch in batches:
+            rows = []
+            for k, text, titles in zip(batch["k"], batch["text"], batch["offers"], strict=True):
+                done = []
+                for t in titles:
+                    text, n = pattern(t["shown"]).subn(lambda m, t=t: f"[{t['shown']}]({t['path']})", text)
+                    if n:
+                        done.append({"path": t["path"], "shown": t["shown"]})
+                if done:
+                    rows.append((k, text, done))
+            yield pd.DataFrame(rows, columns=["k", "text", "mentions"])
+
+    linked = held.join(offers, "k").select("k", "text", "offers").mapInPandas(rewrite, "k string, text string, mentions array<struct<path:string,shown:string>>")
+    return linked.select(F.col("k").alias(key), F.col("text").alias(body), "mentions")

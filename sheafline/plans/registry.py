@@ -250,7 +250,7 @@ add("r06_unresolved", lambda s, d: _doc_links(s, d).where("not exists").groupBy(
     f"with {_LINKS_SQL} select source, count(*) as n from q where source <> target and target not in (select concept_id from latest) group by source")
 add("r05_order_links", lambda s, d: graph.concept_links(_orders(s, d)).select("source", "target"),
     f"with {ORDER_CONCEPTS_SQL} select concept_id as source, 'customers/' || regexp_extract(body, 'customers/([0-9]+)\\.md', 1) || '.md' as target from order_concepts")
-add("r10_linkify", lambda s, d: graph.linkify(concepts.canonical_concepts(table(s, d, "canonical_docs")).where("title is not null and body_md is not null"), "body_md").select("concept_id", F.size("mentions").cast("bigint").alias("n_mentions")))
+add("r10_linkify", lambda s, d: graph.linkify(concepts.canonical_concepts(table(s, d, "canonical_docs")).where("title is not null and body_md is not null"), "body_md").select("concept_id", F.size("mentions").cast("bigint").alias("n_mentions"), "body_md"))
 add("r11_resolve", lambda s, d: concepts.canonical_concepts(table(s, d, "canonical_docs")).where(F.lower("title").contains("ledger") | F.col("concept_id").endswith("000000012.md")).select("concept_id"),
     f"with {LATEST} select concept_id from latest where contains(lower(title), 'ledger') or concept_id like '%000000012.md'")
 

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import re
 import sqlite3
 
 import pytest
@@ -129,6 +130,39 @@ def test_edges_and_links(spark):
     assert graph.orphans(bodies, graph.concept_links(bodies)).count() == 0
 
 
+def test_linkify_against_plain_loop(spark):
+    rows = [
+        ("a/ledger.md", "Ledger", "The LEDGER and the big ledger, subledgers, ledger.txt and [Ledger](x.md)."),
+        ("a-b.md", "Big Ledger", "A ledger; one Big ledgers, the Big Ledger. Café notes, cafénotes"),
+        ("a/z.md", "ledger ", "Only the ledger itself, and C++ (draft) work"),
+        ("b/cafe.md", "Café Notes", "see CAFÉ notes, (Big Ledger), path/Big Ledger, x-ledger, ledger"),
+        ("b/c.md", "C++", "nothing of it"),
+        ("b/d.md", "ab", "ab ab"),
+        ("b/e.md", "Same", "ſame Same"),
+        ("c/f.md", "Same", "Same again, \\1 same"),
+        ("c/g.md", "Reading \\d Room", "a reading \\D room"),
+        ("c/h.md", None, "Reading \\d Room and Same"),
+        ("c/i.md", "Void", None),
+    ]
+    by_title = {}
+    for path, title, _ in sorted(rows, key=lambda r: r[0].split("/")):
+        if title:
+            by_title[title.strip()] = path
+    want = {}
+    for path, _, body in rows:
+        new, used = body or "", []
+        for title, target in by_title.items():
+            if target != path and len(title) >= 3:
+                new, n = re.subn(rf"(?<![(\[A-Za-z0-9_./\-])\b{re.escape(title)}\b(?![A-Za-z0-9_./\-])", lambda m, t=title, p=target: f"[{t}]({p})", new, flags=re.IGNORECASE)
+                used += [(target, title)] * bool(n)
+        if used:
+            want[path] = (new, used)
+    df = spark.createDataFrame(rows, "concept_id string, title string, body string").repartition(3)
+    got = {r.concept_id: (r.body, [tuple(m) for m in r.mentions]) for r in graph.linkify(df).collect()}
+    assert got == want
+    assert got["a-b.md"][0].startswith("A [Ledger](a/ledger.md); one Big ledgers") and "b/d.md" not in got
+
+
 # ---- duplicates --------------------------------------------------------------------------------------------------
 
 
