@@ -9,7 +9,8 @@ passage that cannot be restored.
 
 The dictionaries come from the corpus itself: all words beyond ASCII of all fields are counted per language in Spark, and
 the most frequent ``dictionary_words`` of a language (a bounded model) become its dictionary. A word that a chain turns into a
-more frequent word is left out of it, as is a rare one that is well-formed UTF-8 misread.
+more frequent word is left out of it, as is a rare one that is well-formed UTF-8 misread, and any such word, however frequent,
+whose reading is a counted word or has only characters of sound words in place of signs.
 
 Words are compressed as UTF-16 with a second unit before every ideograph, half-width kana and letter of a script foreign to the corpus, so that a character weighs
 what it weighs in its own character set and a longer UTF-8 form is no argument.
@@ -262,11 +263,11 @@ class Judge:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.length = Lengths(dictionaries)
         self.seen: dict[str, list[tuple[str, int]]] = {}
+        self.known: dict[str, list[tuple[str, int]]] = {}  # at most the entries
 
     def savings(self, word: str) -> list[tuple[str, int]]:
-        if word in self.length.entries:
-            return []  # nothing has a shorter description
-        got = self.seen.get(word)
+        seen = self.known if word in self.length.entries else self.seen
+        got = seen.get(word)
         if got is None:
             candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (CHAINS[c][1] < 5 or letters(d) <= letters(word))}
             got = []
@@ -278,7 +279,7 @@ class Judge:
                 got = [(c, own - cost[d]) for c, d in candidates.items() if own - cost[d] > (3 if mark and CHAINS[c][1] >= 5 else 0)]
             if len(self.seen) >= self.KEEP:
                 self.seen.clear()
-            self.seen[word] = got
+            seen[word] = got
         return got
 
     def chains(self, text: str) -> list[tuple[str, int, set[str]]]:
@@ -364,6 +365,16 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+def _readings(word: str) -> list[str]:
+    """What a word of three letters or more is if it is well-formed UTF-8 misread."""
+    return [d for c in CHAINS if CHAINS[c][1] < 5 and (d := decode(word, c)) and len(_LETTER.findall(d)) >= 3]
+
+
+def _misread(word: str, readings: list[str], counted: Counter, alphabet: set[str]) -> bool:
+    """Do the corpus' sound words bear a reading out? Letters alone may be a word by chance (a capital before ё)."""
+    return any(d in counted or any(ch > "\x7f" and not ch.isalpha() and ch not in d for ch in word) and all(ch in alphabet for ch in d if ch > "\x7f") for d in readings)
+
+
 def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> dict[str, bytes]:
     """Per language the most frequent words beyond ASCII of all fields, as raw zstandard dictionaries, the most frequent last."""
     counted = _fields(docs).select("text").mapInPandas(_count_words, "lang string, word string, n bigint")
@@ -375,8 +386,12 @@ def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count
         count[row.word] += row.n
         if mark_of(row.word) != row.word:
             count[mark_of(row.word)] += row.n  # a mark also counts over all its neighbours
+    readings = {w: _readings(w) for w in {row.word for row in top}}
+    alphabet = {ch for w, ds in readings.items() if not ds and mark_of(w) == w for ch in w if ch > "\x7f"}
     by_lang: dict[str, list[tuple[int, str]]] = {}
     for row in top:
+        if _misread(row.word, readings[row.word], count, alphabet):
+            continue
         if LOST in row.word or _NO_TEXT.search(row.word):
             continue
         own = mark_of(row.word)

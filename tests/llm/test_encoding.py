@@ -49,6 +49,17 @@ def test_twice_garbled_partial_and_lost(spark, dictionaries):
     assert not got[2].recoverable
 
 
+def test_garbled_words_that_outnumber_the_sound_ones(spark):
+    bad = [garble(SOUND[0], "cp1252", "utf-8"), garble("Später größere Schlüssel", "cp1252", "utf-8")]
+    rows = [(None, s) for s in SOUND for _ in range(2)] + [(None, b) for b in bad for _ in range(7)]
+    got = {r.canon_id: r.restored for r in E.garbled_fields(table(spark, rows)).collect()}
+    assert got == {10 + i: (SOUND[0] if i < 7 else "Später größere Schlüssel") for i in range(14)}
+
+
+def test_letters_alone_are_no_misreading():
+    assert not E._misread("Рёбра", E._readings("Рёбра"), E.Counter({"Рёбра": 9}), set("Рёбраи"))
+
+
 def test_edges(spark, dictionaries):
     assert E.found(table(spark, [])).count() == 0
     rows = [(None, None), ("", ""), ("plain", "ascii only"), (None, "é" * 50_000), ("Ñandú", None)]
