@@ -58,29 +58,47 @@ def unresolved(concepts: DataFrame, body: str = "body", key: str = "concept_id")
     return concept_links(concepts, body, key).where("not exists").select("source", "target")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
-    """id, level: what ``starts`` (id) reach in at most ``depth`` steps; every node once, at its smallest level.
-
-    Each round joins only the newest level with the edges; the seen set is kept by anti-joins and cut by a checkpoint.
-    """
+def _hops(edges: DataFrame, both_ways: bool) -> DataFrame:
     hop = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
     if both_ways:
         hop = hop.unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
-    hop = hop.distinct()
+    return hop.distinct()
+
+
+def _levels(hop: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
     seen = starts.select("id").distinct().withColumn("level", F.lit(0))
     newest = seen
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         step = newest.join(hop, newest.id == hop.a).select(F.col("b").alias("id")).distinct()
         newest = cut(step.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest)
+        if level % 16 == 0:
+            seen = cut(seen)
     return seen
 
 
-def impact(edges: DataFrame, starts: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """id, level: the transitive outward closure, without the starts themselves."""
-    return reachable(edges, starts, most_rounds).where("level > 0")
+def reachable(edges: DataFrame, starts: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
+    """id, level: what ``starts`` (id) reach in at most ``depth`` steps; every node once, at its smallest level.
+
+    Each round joins only the newest level with the edges; the seen set is kept by anti-joins and cut by a checkpoint.
+    """
+    return _levels(_hops(edges, both_ways), starts, depth)
+
+
+def impact(edges: DataFrame, starts: DataFrame, returning: bool = False) -> DataFrame:
+    """id, level: the transitive outward closure, in rounds until one finds nothing new. The starts themselves are left out, or,
+    with ``returning``, are in it where links lead back to one, at the length of the shortest way."""
+    hop = cut(_hops(edges, False))  # joined in every round
+    seen = _levels(hop, starts, None)
+    out = seen.where("level > 0")
+    if returning:
+        back = hop.join(starts.select(F.col("id").alias("b")).distinct(), "b").join(seen, F.col("a") == F.col("id")).groupBy(F.col("b").alias("id")).agg((F.min("level") + 1).alias("level"))
+        out = out.unionByName(back)
+    return out
 
 
 def related(edges: DataFrame, node: str, limit: int = 10) -> DataFrame:

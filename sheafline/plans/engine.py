@@ -81,7 +81,7 @@ class Engine:
         return graph.related(self.edges(), "concept:" + self.resolve(name), limit)
 
     def impact(self, name: str) -> DataFrame:
-        return graph.impact(self.edges(), self.spark.createDataFrame([("concept:" + self.resolve(name),)], "id string"))
+        return graph.impact(self.edges(), self.spark.createDataFrame([("concept:" + self.resolve(name),)], "id string"), returning=True)
 
     def doctor(self) -> DataFrame:
         total = self.concepts().agg(F.count("*").alias("total"))

@@ -237,8 +237,9 @@ add("r07_context", lambda s, d: graph.reachable(_parts(s, d), s.createDataFrame(
     f"with {_PARTS_SQL}, u as (select f as a, t as b from e union select t, f from e) select level, count(*) as n from (select 'n3' as id, 0 as level union select b, 1 from u where a = 'n3') group by level")
 add("r08_related", lambda s, d: graph.related(_parts(s, d), "n3", 10),
     f"with {_PARTS_SQL} select id, count(*) as score from (select t as id from e where f = 'n3' union all select f from e where t = 'n3') group by id order by score desc, id limit 10")
-add("r09_impact", lambda s, d: graph.impact(_parts(s, d), table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))),
+add("r09_impact", lambda s, d: graph.impact(_parts(s, d), table(s, d, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id")), returning=True),
     f"with recursive {_PARTS_SQL}, w as (select 'o' || o_orderkey as id, 0 as level from orders where o_orderkey % 20 = 0 union select e.t, w.level + 1 from w join e on e.f = w.id) select id, min(level) as level from w where level > 0 group by id")
+add("r09_impact_evidence", lambda s, d: graph.impact(_edges(s, d), _edges(s, d).where("kind = 'contains' and method = 'canonical_chunks/v1'").where(F.crc32(F.col("from_id").cast("binary")) % 20 == 0).select(F.col("from_id").alias("id")), returning=True))
 _LINKS_SQL = f"{LATEST}, l as (select concept_id as source, unnest(regexp_extract_all(body_md, '\\[[^\\]]+\\]\\(([^)]+)\\)', 1)) as raw from latest), p as (select source, trim(split_part(raw, '#', 1)) as t from l), q as (select distinct source, case when t like '/%' then ltrim(t, '/') else regexp_extract(source, '^(.*)/[^/]*$', 1) || '/' || t end as target from p where t <> '' and not contains(t, '://'))"
 
 

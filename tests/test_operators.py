@@ -116,6 +116,13 @@ def test_traversals(spark):
     assert graph.reachable(e, spark.createDataFrame([], "id string"), 3).count() == 0
 
 
+def test_impact_goes_on_to_the_end_and_back(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)] + [("n70", "n66"), ("n2", "n0")], "from_id string, to_id string")
+    got = {r.id: r.level for r in graph.impact(e, spark.createDataFrame([("n0",)], "id string"), returning=True).collect()}
+    assert got == {**{f"n{i}": i for i in range(1, 71)}, "n0": 3}
+    assert graph.impact(e, spark.createDataFrame([("n70",)], "id string"), returning=True).where("id = 'n70'").first().level == 5
+
+
 def test_edges_and_links(spark):
     c = spark.createDataFrame(
         [("1", "k/alpha.md", "s1", ["Intro"], "See [Beta](beta.md) and [Beta](beta.md), [out](https://x.example/), [gone](none.md). Alice Smith wrote it."), ("2", "k/beta.md", "s2", [], "text")],
