@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sheafline.llm import mail, page
 
 HEAD = "## Headers\n\n- **From**: Ann Reed <ann@x.example>\n- **To**: Bob Low <bob@y.example>\n- **Subject**: Re: Note\n- **Date**: Thu, 11 Apr 2024 01:57 +0000\n\n## Body\n\n"
@@ -21,12 +23,15 @@ def test_quotes_signatures_and_notices(spark):
     a = HEAD + "Hi Bob,\n\nNew text here.\n\nBest,\nAnn\n\n--\nAnn Reed\nClerk, Paper House\nTel. 020 7946 0000\n\nOn 2024-04-10 09:00, Bob Low wrote:\n> Hi Ann\n>\n> old text\n\n## Attachments\n\n- `a.pdf`"
     b = HEAD + "FYI\n\n-----Original Message-----\n*From:* Bob Low <bob@y.example>\n*Sent:* 10.04.2024 18:23\n*To:* Ann\n*Subject:* Note\n\nold words"
     c = HEAD + "Counts so far:\n> 40 boxes\n> 12 boxes\n\nSteps:\n-- open it\n\nThe form says \"strictly confidential\", so it stays.\n\nBest,\nAnn\n\nSent from my phone"
-    df = docs(spark, [(1, ".eml", "a.eml", None, None, a), (2, None, "b.msg", None, None, b), (3, ".eml", "c.eml", None, None, c)])
+    # closings are known by their recurrence alone: other mails end in the same lines
+    others = [(10 + i, ".eml", f"{i}.eml", None, None, HEAD.replace("Ann Reed", f"Pat N{i}").replace("ann@", f"p{i}@") + f"Case {'abcdef'[i]} is done.\n\nBest,\nPat\n\n--\nPat N{i}\nClerk, Paper House\nTel. 020 7946 000{i}\n\nSent from my phone") for i in range(6)]
+    df = docs(spark, [(1, ".eml", "a.eml", None, None, a), (2, None, "b.msg", None, None, b), (3, ".eml", "c.eml", None, None, c), *others])
     want = [(1, n) for n in lines(a, "--", "Ann Reed", "Clerk, Paper House", "Tel. 020 7946 0000", "On 2024-04-10 09:00, Bob Low wrote:", "> Hi Ann", ">", "> old text")]
     body = b.split("\n")
     want += [(2, n) for n in range(body.index("-----Original Message-----"), len(body)) if body[n].strip()]
     want += [(3, n) for n in lines(c, "Sent from my phone")]
-    assert gone(df) == sorted(want)
+    assert [x for x in gone(df) if x[0] < 10] == sorted(want)
+    assert [n for i, n in gone(df) if i == 12] == [n for n, x in enumerate(others[2][5].split("\n")) if n > 11 and x and x != "Pat"]
     kept = {r.canon_id: r.new_text for r in mail.new_text(df).collect()}
     assert kept[1] == "Hi Bob,\n\nNew text here.\n\nBest,\nAnn" and kept[2] == "FYI"
 
@@ -45,6 +50,27 @@ def test_first_author_keeps_a_line(spark):
     assert got == [(2, n) for n in lines(b, said)]
 
 
+def test_nothing_goes_without_the_method(spark, monkeypatch):
+    """Without recurrence no closing goes, without dates and ranks no quotation does."""
+    body = HEAD + "New text here.\n\nBest,\nAnn\n\nSent from my phone\n\nOn 2024-04-10 09:00, Bob Low wrote:\n> old text of mine"
+    df = docs(spark, [(i, ".eml", "a.eml", None, None, body.replace("ann@", f"a{i}@")) for i in range(6)])
+    assert len(gone(df)) == 18
+    monkeypatch.setattr(mail, "SENDER_MESSAGES", 10**9)
+    monkeypatch.setattr(mail, "ALL_MESSAGES", 10**9)
+    assert len(gone(df)) == 12
+    assert mail.removed(mail.message_lines(df).withColumn("at", F.lit(0.0))).count() == 0
+
+
+def test_third_party_and_tied_dates(spark):
+    """A line belongs to its first author among any number of parties; a mail converted twice is no copy of itself."""
+    said = "The green ledger was moved to the second floor last week."
+    first = HEAD.replace("- **To**: Bob Low <bob@y.example>", "- **To**: Bob Low <bob@y.example>, Cy Dee <cy@z.example>") + said
+    later = HEAD.replace("Ann Reed <ann@x.example>", "Cy Dee <cy@z.example>").replace("- **To**: Bob Low <bob@y.example>", "- **To**: Ann Reed <ann@x.example>, Bob Low <bob@y.example>").replace("11 Apr", "13 Apr") + said + "\n\nI agree."
+    stranger = HEAD.replace("Ann Reed <ann@x.example>", "Ed Fox <ed@f.example>").replace("11 Apr", "14 Apr") + said
+    rows = [(1, ".eml", "a.eml", None, None, first), (2, ".eml", "b.eml", None, None, later), (3, ".eml", "c.eml", None, None, stranger), (4, ".eml", "a2.eml", None, None, first)]
+    assert gone(docs(spark, rows)) == [(2, n) for n in lines(later, said)]
+
+
 def test_mail_edges(spark):
     long = HEAD + "word " * 40_000
     rows = [(1, ".eml", "a.eml", None, None, None), (2, ".pdf", "a.pdf", None, None, "x"), (3, ".eml", "a.eml", None, None, ""), (4, ".pst", "a.pst", None, None, "# t\n\n| Field | Value |\n|---|---|\n| **From** | A B <a@b.example> |\n\n\ntext"), (5, None, None, None, None, "y"), (6, ".eml", "l.eml", None, None, long)]
