@@ -55,6 +55,7 @@ MAX_UNITS = 250_000
 POWER = 4
 #: weight of the prior: a sentence without near examples is taken as harmless
 PRIOR = 0.02
+#: calibrated probability from which a document is reported
 THRESHOLD = 0.5
 
 # letters of other scripts that look like Latin ones, and signs used for letters (fixed values)
@@ -148,9 +149,9 @@ def despaced(text: str) -> str:
     return _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
 
 
-def units(text: str) -> list[str]:
+def units(text: str, folder: Folder | None = None) -> list[str]:
     """The sentences of a text, in the order of the runs between BREAKs."""
-    folder = Folder()
+    folder = Folder() if folder is None else folder
     out: list[str] = []
     for line in logical_lines(text):
         at: list[str] = []
@@ -465,7 +466,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         folder = Folder()
         for batch in batches:
             t = Texts(batch["text"].tolist(), folder)
-            names = {k: units(despaced(x) if _SPACED.search(x) else x) for k, x in enumerate(batch["text"])}
+            names = {k: units(despaced(x) if _SPACED.search(x) else x, folder) for k, x in enumerate(batch["text"])}
             rows = [(batch["doc_id"].iloc[k], batch["y"].iloc[k], t.words[a:b].tolist(), names[k][n] if n < len(names[k]) else "") for a, b, k, n in zip(t.begins, t.ends, t.text_of, t.nth, strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "y", "ids", "unit"])
 
@@ -594,8 +595,8 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 # ---- Spark -------------------------------------------------------------------------------------------------------
 
 
-def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, source, score, probability, evidence, nearest_example of every document."""
+def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None, evidence: bool = True) -> DataFrame:
+    """doc_id, source, score, probability, evidence, nearest_example of every document; the evidence is empty where not asked for."""
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents, labels))
     cols = ["doc_id", "source", "score", "probability", "evidence", "nearest_example"]
 
@@ -607,7 +608,7 @@ def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None)
             for lo in range(0, len(batch), 1000):
                 part = batch.iloc[lo : lo + 1000]
                 for d, s, t, (score, nth, near) in zip(part["doc_id"], part["source"], part["text"], scorer.batch(part["text"].tolist()), strict=True):
-                    said = units(despaced(t) if _SPACED.search(t) else t) if nth >= 0 else []
+                    said = units(despaced(t) if _SPACED.search(t) else t, scorer.folder) if nth >= 0 and evidence else []
                     rows.append((d, s, round(score, 6), round(m.probability(score), 6) if len(m.texts) else 0.0, said[nth] if 0 <= nth < len(said) else "", m.texts[near] if near >= 0 else ""))
             yield pd.DataFrame(rows, columns=cols)
 
@@ -616,10 +617,10 @@ def scores(documents: DataFrame, labels: DataFrame, model: Model | None = None)
 
 
 def found(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
-    return scores(documents, labels, model).where(F.col("score") >= threshold).select("doc_id").distinct()
+    return scores(documents, labels, model, evidence=False).where(F.col("probability") >= threshold).select("doc_id").distinct()
 
 
 def source_rates(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per source: documents, flagged documents, rate, mean probability."""
-    s = scores(documents, labels).groupBy("doc_id", "source").agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
-    return s.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum((F.col("score") >= threshold).cast("bigint")).alias("n_flagged"), F.round(F.avg((F.col("score") >= threshold).cast("double")), 6).alias("rate"), F.round(F.avg("probability"), 6).alias("mean_probability"))
+    s = scores(documents, labels, evidence=False).groupBy("doc_id", "source").agg(F.max("score").alias("score"), F.max("probability").alias("probability"))
+    return s.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum((F.col("probability") >= threshold).cast("bigint")).alias("n_flagged"), F.round(F.avg((F.col("probability") >= threshold).cast("double")), 6).alias("rate"), F.round(F.avg("probability"), 6).alias("mean_probability"))

@@ -80,6 +80,31 @@ def test_block_max_search_is_exact():
         assert np.allclose(sorted(sims[order], reverse=True), cos, atol=1e-5) and len(got) == len(order)
 
 
+def test_bounds_lose_no_neighbour():
+    """Sentences bounded at once score what a search of every run finds; a word met many times included."""
+    rng = np.random.default_rng(9)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(8)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) + ". " + " ".join(rng.choice(words[:9], rng.integers(1, 60))) for _ in range(120)] + ["", None, "wab " * 40, "w a b c d", "u\r\nv"]
+    df = rng.integers(1, 90, harm.FEATURES)
+    weigher = harm.Weigher(df, 100)
+    vectors = [weigher.vector(list(rng.choice(words, rng.integers(2, 9)))) for _ in range(150)]
+    model = harm.Model(df, 100, [f"x{i}" for i in range(150)], np.array([1.0] * 40 + [0.0] * 110), harm.BlockMaxIndex.build(vectors), 40)
+    scorer = harm.Scorer(model)
+    got = scorer.batch(texts)
+    dense = np.zeros(harm.FEATURES, dtype=np.float32)
+    for text, (score, _, _) in zip(texts, got, strict=True):
+        best = 0.0
+        t = harm.Texts([text or ""], scorer.folder)
+        for a, b in zip(t.begins, t.ends, strict=True):
+            runs = [(a, b)] + ([(x, min(x + harm.WINDOW, b)) for x in range(a, b - harm.WINDOW // 2, harm.WINDOW // 2)] if b - a > harm.WINDOW + 4 else [])
+            for x, y in runs:
+                near, cos = model.index.nearest(*weigher.of(t.words[x:y]), harm.NEIGHBOURS, dense)
+                if (near < model.leading).any():
+                    best = max(best, harm.vote(model.labels[near], cos))
+        assert abs(best - score) < 1e-6
+    assert harm.units("He said so. No\nmatter what") == ["He said so.", "No matter what"]
+
+
 def test_harm_end_to_end(spark):
     rng = random.Random(2)
     nouns = ["ledger", "folder", "cabinet", "binder", "carton", "label"]
