@@ -7,6 +7,9 @@ own cost; the best chain with a positive saving is applied to the words it short
 without such a chain stays as it is. The replacement character, which a decoder leaves where bytes were lost, is a garbled
 passage that cannot be restored.
 
+A word is compressed once for the whole corpus: the fields' words are written once, counted, and the distinct words judged in
+as many tasks as there are cores; what a chain shortens is joined back to the fields that hold it.
+
 The dictionaries come from the corpus itself: all words beyond ASCII of all fields are counted per language in Spark, and
 the most frequent ``dictionary_words`` of a language (a bounded model) become its dictionary. A word that a chain turns into a
 more frequent word is left out of it, as is a rare one that is well-formed UTF-8 misread, and any such word, however frequent,
@@ -23,22 +26,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.session import spread
+from sheafline.session import cut, spread
 
 DICTIONARY_WORDS = 6000
 MIN_COUNT = 2
-#: lazy matching finds the longest matches, optimal parsing avoids those that cost more than they save
-LEVELS = (6, 16)
-#: bytes of a word (of three letters or more) that is an entry of a dictionary: its place can be told in two, beside what every frame has
-KNOWN = 7
+#: lazy matching over a binary tree: a word that is an entry is found as one match, whatever precedes it
+LEVELS = (12,)
 
 #: chain name -> (steps of (wrong, right), cost in bytes)
 CHAINS: dict[str, tuple[tuple[tuple[str, str], ...], int]] = {
@@ -58,28 +59,32 @@ CHAINS: dict[str, tuple[tuple[tuple[str, str], ...], int]] = {
     "utf8<latin-1<utf8<latin-1": ((("latin-1", "utf-8"), ("latin-1", "utf-8")), 3),
     "utf8<cp1252<utf8<latin-1": ((("latin-1", "utf-8"), ("cp1252", "utf-8")), 3),
     "utf8<mac_roman<utf8<cp1252": ((("cp1252", "utf-8"), ("mac_roman", "utf-8")), 4),
-    "cp1252<mac_roman": ((("mac_roman", "cp1252"),), 5),
-    "mac_roman<cp1252": ((("cp1252", "mac_roman"),), 5),
-    "cp1252<cp850": ((("cp850", "cp1252"),), 5),
-    "cp850<cp1252": ((("cp1252", "cp850"),), 5),
-    "cp1252<cp437": ((("cp437", "cp1252"),), 5),
-    "cp437<cp1252": ((("cp1252", "cp437"),), 5),
-    "cp1252<cp1250": ((("cp1250", "cp1252"),), 5),
-    "cp1250<cp1252": ((("cp1252", "cp1250"),), 5),
-    "iso8859_2<cp1252": ((("cp1252", "iso8859_2"),), 5),
-    "cp1252<cp1251": ((("cp1251", "cp1252"),), 5),
-    "cp1251<cp1252": ((("cp1252", "cp1251"),), 5),
-    "koi8_r<cp1252": ((("cp1252", "koi8_r"),), 5),
-    "koi8_r<cp1251": ((("cp1251", "koi8_r"),), 5),
-    "cp1251<koi8_r": ((("koi8_r", "cp1251"),), 5),
-    "cp866<cp1251": ((("cp1251", "cp866"),), 5),
-    "cp1251<cp866": ((("cp866", "cp1251"),), 5),
-    "cp932<cp1252": ((("cp1252", "cp932"),), 5),
-    "euc_jp<cp1252": ((("cp1252", "euc_jp"),), 5),
-    "gb18030<cp1252": ((("cp1252", "gb18030"),), 5),
+    "cp1252<mac_roman": ((("mac_roman", "cp1252"),), 4),
+    "mac_roman<cp1252": ((("cp1252", "mac_roman"),), 4),
+    "cp1252<cp850": ((("cp850", "cp1252"),), 4),
+    "cp850<cp1252": ((("cp1252", "cp850"),), 4),
+    "cp1252<cp437": ((("cp437", "cp1252"),), 4),
+    "cp437<cp1252": ((("cp1252", "cp437"),), 4),
+    "cp1252<cp1250": ((("cp1250", "cp1252"),), 4),
+    "cp1250<cp1252": ((("cp1252", "cp1250"),), 4),
+    "iso8859_2<cp1252": ((("cp1252", "iso8859_2"),), 4),
+    "cp1252<cp1251": ((("cp1251", "cp1252"),), 4),
+    "cp1251<cp1252": ((("cp1252", "cp1251"),), 4),
+    "koi8_r<cp1252": ((("cp1252", "koi8_r"),), 4),
+    "koi8_r<cp1251": ((("cp1251", "koi8_r"),), 4),
+    "cp1251<koi8_r": ((("koi8_r", "cp1251"),), 4),
+    "cp866<cp1251": ((("cp1251", "cp866"),), 4),
+    "cp1251<cp866": ((("cp866", "cp1251"),), 4),
+    "cp932<cp1252": ((("cp1252", "cp932"),), 4),
+    "euc_jp<cp1252": ((("cp1252", "euc_jp"),), 4),
+    "gb18030<cp1252": ((("cp1252", "gb18030"),), 4),
 }
+#: chains that read one byte set as another: any text has such readings
+SWAPS = {c for c, (steps, _) in CHAINS.items() if steps[-1][1] != "utf-8"}
 MULTI_BYTE = {"gb18030", "cp932", "big5", "euc_kr", "euc_jp"}
 LOST = "�"
+#: the soft hyphen: left in words by layout, and no sign of another byte set
+SOFT = "\xad"
 
 #: frequent short words that tell the language of a field
 STOP_WORDS = {
@@ -94,23 +99,25 @@ _STOP = {w: lang for lang, ws in STOP_WORDS.items() for w in ws.split()}
 _WORD = re.compile("[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
 _BEYOND = re.compile("[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d")
+_KANA = re.compile("[぀-ヿ]")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+_BLANK = str.maketrans("\t\r", "  ")
 _EDGE = ".,;:!?()[]<>{}\"'*_|#=/-`~"
 _LETTER = re.compile(r"[^\W\d_]")
 _WIDE = re.compile("([\u0530-\u1dff\u2500-\u25ff\u2e80-\u3000\u3100-\ud7ff\uf900-\ufaff\ufe10-\uffef])")
 _PLAIN = re.compile("[A-Za-z0-9]")
+MARK_SAVING = 5  # what a swap must save more than on a single mark with its neighbours, which say little by themselves
 MARK = 8  # a word of at most so many characters, none of them a plain letter or digit, is judged with its neighbours
 _NO_TEXT = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\ue000-\uf8ff\ufffe\uffff]")
 
 
 def language(text: str) -> str:
     """A rough language of a field: script, else the stop words' majority."""
-    if re.search("[぀-ヿ]", text):
+    if _KANA.search(text):
         return "ja"
-    cyrillic = len(re.findall("[Ѐ-ӿ]", text))
-    if cyrillic * 4 > len(text):
+    if _CYRILLIC.search(text) and len(_CYRILLIC.findall(text)) * 4 > len(text):
         return "ru"
-    votes = Counter(_STOP.get(w) for w in re.findall(r"[^\W\d_]+", text.lower()))
-    votes.pop(None, None)
+    votes = Counter(filter(None, map(_STOP.get, text.lower().split())))
     return votes.most_common(1)[0][0] if votes else "en"
 
 
@@ -128,17 +135,20 @@ def is_mark(word: str) -> bool:
 
 
 def words_beyond_ascii(text: str) -> list[str]:
-    """The distinct words with characters beyond ASCII; a mark is taken with its neighbours."""
+    """The distinct words with characters beyond ASCII; a mark is taken with the words beside it in its line."""
     out: dict[str, None] = {}
-    for m in _WORD.finditer(text):
-        word = m.group()
-        if is_mark(word):
-            left = text[max(0, m.start() - 12) : m.start()].split("\n")[-1]
-            right = text[m.end() : m.end() + 8].split("\n")[0]
-            word = _BEYOND.sub("", left.rpartition(" ")[0].rpartition(" ")[2] + " ") + word + " " + _BEYOND.sub("", right.strip().partition(" ")[0])
-        else:
-            word = word.strip(_EDGE)
-        out[_DIGITS.sub("0", word)] = None
+    for line in text.translate(_BLANK).split("\n"):
+        if line.isascii():
+            continue
+        tokens = [w for w in line.split(" ") if w]
+        for i, word in enumerate(tokens):
+            if word.isascii():
+                continue
+            if is_mark(word):
+                word = _BEYOND.sub("", tokens[i - 1] if i else "") + " " + word + " " + _BEYOND.sub("", tokens[i + 1] if i + 1 < len(tokens) else "")
+            else:
+                word = word.strip(_EDGE)
+            out[_DIGITS.sub("0", word)] = None
     return list(out)
 
 
@@ -241,7 +251,6 @@ class Lengths:
     def __init__(self, dictionaries: dict[str, bytes], levels: tuple[int, ...] = LEVELS):
         parameters = dict(format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.compressors = []
-        self.entries = {w for raw in dictionaries.values() for w in raw.decode("utf-16-le", "surrogatepass").replace("\x01", "").split(" ") if len(_LETTER.findall(w)) >= 3}
         for level in levels:
             for raw in [*dictionaries.values(), b""]:  # the last: words of no known language
                 own = {"dict_data": zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(raw) >= 8 else {}
@@ -249,56 +258,62 @@ class Lengths:
                 self.compressors.append(zstandard.ZstdCompressor(compression_params=p, **own))
 
     def __call__(self, word: str) -> int:
-        if word in self.entries:
-            return KNOWN
         raw = units(f" {word} ")
         return min(len(c.compress(raw)) for c in self.compressors)
 
 
+_ORDER = {c: n for n, c in enumerate(CHAINS)}
+
+
+def choose(left: dict[str, list[tuple[str, int]]]) -> list[tuple[str, int, set[str]]]:
+    """From what chains save on a field's words: (chain, saving, words) in the order to apply; empty where it is best left unchanged."""
+    out = []
+    while left:
+        total: Counter = Counter()
+        for s in left.values():
+            for chain, saved in s:
+                total[chain] += saved
+        net = {c: n - CHAINS[c][1] for c, n in total.items() if n > CHAINS[c][1]}
+        for c in SWAPS.intersection(net):  # marks alone: one that saves much, or two that agree
+            mine = [(w, n) for w, s in left.items() for x, n in s if x == c]
+            if len(mine) < 2 and all(" " in w and n <= MARK_SAVING for w, n in mine):
+                del net[c]
+        if not net:
+            break
+        chain = max(net, key=lambda c: (net[c], -_ORDER[c]))
+        mine = {w for w, s in left.items() if any(c == chain for c, _ in s)}
+        out.append((chain, net[chain], mine))
+        left = {w: s for w, s in left.items() if w not in mine}
+    return out
+
+
 class Judge:
-    """Finds the chains of a field. Results for words are kept, up to a fixed number."""
+    """Judges words, and finds the chains of a field. Results for words are kept, up to a fixed number."""
 
     KEEP = 100_000
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.length = Lengths(dictionaries)
         self.seen: dict[str, list[tuple[str, int]]] = {}
-        self.known: dict[str, list[tuple[str, int]]] = {}  # at most the entries
 
     def savings(self, word: str) -> list[tuple[str, int]]:
-        seen = self.known if word in self.length.entries else self.seen
-        got = seen.get(word)
+        got = self.seen.get(word)
         if got is None:
-            candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (CHAINS[c][1] < 5 or letters(d) <= letters(word))}
+            candidates = {c: d for c in CHAINS if (d := decode(word, c)) is not None and (c not in SWAPS or letters(d) <= letters(word) and SOFT not in word + d)}
             got = []
             if candidates:
                 own = self.length(word)
                 cost = {d: self.length(d) for d in set(candidates.values())}
                 # one byte set read as another: a mark alone says little, the dictionary must know it well
                 mark = mark_of(word) != word or is_mark(word)
-                got = [(c, own - cost[d]) for c, d in candidates.items() if own - cost[d] > (3 if mark and CHAINS[c][1] >= 5 else 0)]
+                got = [(c, own - cost[d]) for c, d in candidates.items() if own - cost[d] > (3 if mark and c in SWAPS else 0)]
             if len(self.seen) >= self.KEEP:
                 self.seen.clear()
-            seen[word] = got
+            self.seen[word] = got
         return got
 
     def chains(self, text: str) -> list[tuple[str, int, set[str]]]:
-        """(chain, saving, words) in the order to apply; empty where the text is best left unchanged."""
-        left = {w: s for w in words_beyond_ascii(text) if (s := self.savings(w))}
-        out = []
-        while left:
-            total: Counter = Counter()
-            for s in left.values():
-                for chain, saved in s:
-                    total[chain] += saved
-            chain = max(total, key=lambda c: (total[c] - CHAINS[c][1], -list(CHAINS).index(c)))
-            saved = total[chain] - CHAINS[chain][1]
-            if saved <= 0:
-                break
-            mine = {w for w, s in left.items() if any(c == chain for c, _ in s)}
-            out.append((chain, saved, mine))
-            left = {w: s for w, s in left.items() if w not in mine}
-        return out
+        return choose({w: s for w in words_beyond_ascii(text) if (s := self.savings(w))})
 
     def restore(self, text: str, chains: list[tuple[str, int, set[str]]]) -> str:
         owner = {w: c for c, _, ws in chains for w in ws}
@@ -320,12 +335,12 @@ class Judge:
                 # words that say nothing by themselves go with a passage that one byte set read as another
                 word = m.group()
                 for chain in used:
-                    if CHAINS[chain][1] >= 5 and _DIGITS.sub("0", word.strip(_EDGE)) not in owner and (d := decode(word, chain)) and self.length(d) <= self.length(word):
+                    if chain in SWAPS and _DIGITS.sub("0", word.strip(_EDGE)) not in owner and (d := decode(word, chain)) and self.length(d) <= self.length(word):
                         return d
                 return word
 
             done = _WORD.sub(one, text)
-            if not any(CHAINS[c][1] >= 5 for c in used):
+            if not any(c in SWAPS for c in used):
                 return done
             parts = [(m.group(), one(m)) for m in _WORD.finditer(text)]
             left = iter(parts)
@@ -349,25 +364,20 @@ def _fields(docs: DataFrame) -> DataFrame:
     return spread(docs).select(F.col("canon_id").cast("bigint").alias("canon_id"), F.explode(F.filter(pairs, lambda p: p["text"].rlike(beyond))).alias("p")).select("canon_id", "p.field_name", "p.text")
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+def _list_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = batch["text"]
+        yield pd.DataFrame({"canon_id": batch["canon_id"], "field_name": batch["field_name"], "lang": [language(t) for t in texts], "lost": [LOST in t for t in texts], "words": [words_beyond_ascii(t) for t in texts]})
 
-    def flush() -> pd.DataFrame:
-        return pd.DataFrame([(lang, word, n) for (lang, word), n in counts.items()], columns=["lang", "word", "n"])
 
-    for batch in batches:
-        for text in batch["text"]:
-            lang = language(text)
-            counts.update((lang, w) for w in words_beyond_ascii(text) if len(w) <= 60)
-        if len(counts) > 200_000:
-            yield flush()
-            counts.clear()
-    yield flush()
+def field_words(docs: DataFrame) -> DataFrame:
+    """canon_id, field_name, lang, lost, words of each field with characters beyond ASCII; written once, used for counting and judging."""
+    return cut(_fields(docs).mapInPandas(_list_words, "canon_id bigint, field_name string, lang string, lost boolean, words array<string>"))
 
 
 def _readings(word: str) -> list[str]:
     """What a word of three letters or more is if it is well-formed UTF-8 misread."""
-    return [d for c in CHAINS if CHAINS[c][1] < 5 and (d := decode(word, c)) and len(_LETTER.findall(d)) >= 3]
+    return [d for c in CHAINS if c not in SWAPS and (d := decode(word, c)) and len(_LETTER.findall(d)) >= 3]
 
 
 def _misread(word: str, readings: list[str], counted: Counter, alphabet: set[str]) -> bool:
@@ -375,12 +385,16 @@ def _misread(word: str, readings: list[str], counted: Counter, alphabet: set[str
     return any(d in counted or any(ch > "\x7f" and not ch.isalpha() and ch not in d for ch in word) and all(ch in alphabet for ch in d if ch > "\x7f") for d in readings)
 
 
-def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> dict[str, bytes]:
-    """Per language the most frequent words beyond ASCII of all fields, as raw zstandard dictionaries, the most frequent last."""
-    counted = _fields(docs).select("text").mapInPandas(_count_words, "lang string, word string, n bigint")
-    totals = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = totals.withColumn("r", F.row_number().over(w)).where(F.col("r") <= words).collect()  # at most `words` a language
+def dictionaries_of(listed: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> dict[str, bytes]:
+    """Per language the most frequent words beyond ASCII of all fields, as raw zstandard dictionaries, the most frequent last.
+
+    ``listed``: the rows of ``field_words``.
+    """
+    totals = listed.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    # the first of a language in two steps, so that no task sorts all its words
+    part = F.pmod(F.xxhash64("word"), F.lit(64))
+    first = totals.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(F.desc("n"), "word"))).where(F.col("r") <= words)
+    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= words).collect()  # at most `words` a language
     count: Counter = Counter()
     for row in top:
         count[row.word] += row.n
@@ -395,35 +409,81 @@ def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count
         if LOST in row.word or _NO_TEXT.search(row.word):
             continue
         own = mark_of(row.word)
-        if any((d := decode(own, c)) and (count.get(d, 0) >= count[own] or (count[own] <= MIN_COUNT and CHAINS[c][1] < 5)) for c in CHAINS):
+        if any((d := decode(own, c)) and (count.get(d, 0) >= count[own] or (count[own] <= MIN_COUNT and c not in SWAPS)) for c in CHAINS):
             continue
         by_lang.setdefault(row.lang, []).append((row.n, row.word))
     return {lang: units(" " + " ".join(w for _, w in sorted(ws)) + " ") for lang, ws in by_lang.items()}
 
 
-GARBLED_SCHEMA = "canon_id bigint, field_name string, chain string, saved_bytes int, recoverable boolean, restored string"
+def build_dictionaries(docs: DataFrame, words: int = DICTIONARY_WORDS, min_count: int = MIN_COUNT) -> dict[str, bytes]:
+    return dictionaries_of(field_words(docs), words, min_count)
 
 
-def garbled_fields(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, restored: bool = True) -> DataFrame:
-    """Every field that holds a garbled passage, the chain (or chains) chosen and the restored text."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_dictionaries(docs) if dictionaries is None else dictionaries)
+def garbled_words(listed: DataFrame, shared) -> DataFrame:
+    """word, chain, saved: what each chain saves on each distinct word of the corpus, where it saves anything."""
+    sc = listed.sparkSession.sparkContext
+    parts = max(sc.defaultParallelism, int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         j = Judge(shared.value)
+        for batch in batches:
+            yield pd.DataFrame([(w, c, s) for w in batch["word"] for c, s in j.savings(w)], columns=["word", "chain", "saved"])
+
+    distinct = listed.select(F.explode("words").alias("word")).distinct().repartition(parts, "word")
+    return distinct.mapInPandas(judge, "word string, chain string, saved int")
+
+
+def chosen_chains(listed: DataFrame, shared) -> DataFrame:
+    """canon_id, field_name, chains, lost of every field that holds a garbled passage; chains as (chain, saving, words)."""
+    hits = listed.select("canon_id", "field_name", F.explode("words").alias("word")).join(garbled_words(listed, shared), "word")
+    fields = hits.groupBy("canon_id", "field_name").agg(F.collect_set(F.struct("word", "chain", "saved")).alias("hits"))  # of one field
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, name, text in zip(batch["canon_id"], batch["field_name"], batch["text"], strict=True):
-                chains = j.chains(text)
-                lost = LOST in text
-                if chains or lost:
-                    rows.append((key, name, " + ".join(c for c, _, _ in chains) or "lost", sum(s for _, s, _ in chains), not lost, (j.restore(text, chains) if chains else text) if restored else None))
-            yield pd.DataFrame(rows, columns=["canon_id", "field_name", "chain", "saved_bytes", "recoverable", "restored"])
+            for key, name, hits in zip(batch["canon_id"], batch["field_name"], batch["hits"], strict=True):
+                left: dict[str, list[tuple[str, int]]] = {}
+                for h in hits:
+                    left.setdefault(h["word"], []).append((h["chain"], h["saved"]))
+                chosen = choose(left)
+                if chosen:
+                    rows.append((key, name, [{"chain": c, "saved": s, "words": sorted(ws)} for c, s, ws in chosen]))
+            yield pd.DataFrame(rows, columns=["canon_id", "field_name", "chains"])
+
+    chosen = fields.mapInPandas(pick, "canon_id bigint, field_name string, chains array<struct<chain: string, saved: int, words: array<string>>>")
+    lost = listed.where("lost").select("canon_id", "field_name", F.lit(True).alias("lost")).distinct()
+    return chosen.join(lost, ["canon_id", "field_name"], "full").withColumn("lost", F.coalesce("lost", F.lit(False)))
+
+
+def _chain_name() -> Column:
+    return F.when(F.col("chains").isNull(), F.lit("lost")).otherwise(F.array_join(F.transform("chains", lambda c: c["chain"]), " + "))
+
+
+def _judged(docs: DataFrame, dictionaries: dict[str, bytes] | None):
+    listed = field_words(docs)
+    shared = listed.sparkSession.sparkContext.broadcast(dictionaries_of(listed) if dictionaries is None else dictionaries)
+    return chosen_chains(listed, shared), shared
+
+
+def garbled_fields(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
+    """canon_id, field_name, chain, saved_bytes, recoverable, restored: every field that holds a garbled passage, the chain (or
+    chains) chosen and the restored text."""
+    chosen, shared = _judged(docs, dictionaries)
+
+    def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        j = Judge(shared.value)
+        for batch in batches:
+            picked = [[(x["chain"], x["saved"], set(x["words"])) for x in c] if c is not None else [] for c in batch["chains"]]
+            done = [j.restore(t, c) for t, c in zip(batch["text"], picked, strict=True)]
+            saved = [sum(n for _, n, _ in c) for c in picked]
+            yield pd.DataFrame({"canon_id": batch["canon_id"], "field_name": batch["field_name"], "chain": batch["chain"], "saved_bytes": saved, "recoverable": ~batch["lost"].astype(bool), "restored": done})
 
-    return _fields(docs).mapInPandas(judge, GARBLED_SCHEMA).dropDuplicates(["canon_id", "field_name", "chain"])
+    texts = _fields(docs).dropDuplicates(["canon_id", "field_name"])
+    return texts.join(chosen.withColumn("chain", _chain_name()), ["canon_id", "field_name"]).mapInPandas(restore, "canon_id bigint, field_name string, chain string, saved_bytes int, recoverable boolean, restored string")
 
 
-def found(docs: DataFrame, **options: Callable) -> DataFrame:
-    return garbled_fields(docs, restored=False, **options).select("canon_id", "field_name").distinct()
+def found(docs: DataFrame, dictionaries: dict[str, bytes] | None = None) -> DataFrame:
+    return _judged(docs, dictionaries)[0].select("canon_id", "field_name")
 
 
 def repaired(docs: DataFrame) -> DataFrame:
@@ -432,4 +492,4 @@ def repaired(docs: DataFrame) -> DataFrame:
 
 
 def chain_report(docs: DataFrame) -> DataFrame:
-    return garbled_fields(docs, restored=False).groupBy("field_name", "chain").agg(F.count("*").alias("n_fields"), F.sum(F.col("recoverable").cast("bigint")).alias("n_recoverable"))
+    return _judged(docs, None)[0].groupBy("field_name", _chain_name().alias("chain")).agg(F.count("*").alias("n_fields"), F.sum((~F.col("lost")).cast("bigint")).alias("n_recoverable"))

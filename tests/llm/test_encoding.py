@@ -74,3 +74,20 @@ def test_round_trip_of_the_chains():
     for name, (steps, _) in E.CHAINS.items():
         if len(steps) == 1 and steps[0][1] == "utf-8" and steps[0][0] not in E.MULTI_BYTE:
             assert E.decode(garble("größer", steps[0][0], "utf-8"), name) == "größer"
+
+
+def test_corpus_wide_judging_equals_judging_each_field(spark):
+    """Words judged once for the corpus give the chains that judging every field by itself gives."""
+    bad = [garble(s, w, r) for s in SOUND for w, r in CHAINS[:4] + CHAINS[7:]]
+    df = table(spark, [(None, s) for s in SOUND * 3] + [(b.split(" ")[0], b + "\n" + SOUND[0]) for b in bad])
+    known = E.build_dictionaries(df)
+    judge = E.Judge(known)
+    want = {(r.canon_id, n) for r in df.collect() for n in ("title", "body_md") if r[n] and judge.chains(r[n])}
+    assert {(r.canon_id, r.field_name) for r in E.found(df, known).collect()} == want and len(want) > 20
+
+
+def test_known_words_are_compressed_like_all_others():
+    words = ["café", "Schlüssel", "prüfte", "révisé", "curator’s"] * 3
+    length = E.Lengths({"en": E.units(" " + " ".join(dict.fromkeys(words)) + " ")})
+    for w in words:
+        assert length(w) == min(len(c.compress(E.units(f" {w} "))) for c in length.compressors) < length(garble(w, "mac_roman", "cp1252"))
