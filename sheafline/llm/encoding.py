@@ -429,7 +429,7 @@ def garbled_words(listed: DataFrame, shared) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(w, c, s) for w in batch["word"] for c, s in j.savings(w)], columns=["word", "chain", "saved"])
 
-    distinct = listed.select(F.explode("words").alias("word")).distinct().repartition(parts, "word")
+    distinct = listed.select(F.explode("words").alias("word")).distinct().repartition(parts, F.xxhash64("word"))
     return distinct.mapInPandas(judge, "word string, chain string, saved int")
 
 
