@@ -1,11 +1,12 @@
 """Main text of web pages: subtrees that recur over a host's pages are its template.
 
-A page's Markdown is a tree: sections under headings, blocks between blank lines, lines (list items, link rows) within blocks.
-Each line and each block gets a hash of its normal form, a link row also one with the link's text taken out. Spark counts in
-how many pages of a host (and of all hosts, for hosts of few pages) each hash occurs; what recurs in many pages is template.
-Template subtrees go with all they hold: a label goes with the list under it, a link row with its block, a cookie sentence
-with its buttons. Headings of the article, its sentences, sentence lists, tables, date line and the links under a section
-heading stay, even where pages share them.
+A page's Markdown is a tree: the part ahead of the title, sections under headings, the part below a closing rule; in them blocks
+between blank lines, labels with the block under them, lines (list items, link rows). Each line and each subtree gets a hash of
+its normal form, a link row also one with the link's text taken out, a larger subtree one of its label and its children's
+kinds. Spark counts in how many pages of a host (and of all hosts, for hosts of few pages) each hash occurs; what recurs is
+template, and without a template hash nothing of a page goes. Template subtrees go with all they hold: a label goes with the
+list under it, a link row with its block, a cookie sentence with its buttons. Headings of the article, its sentences,
+sentence lists, tables, date line and the links under a section heading stay, even where pages share them.
 
 Counting is a two-step aggregation (page, then host), so a host with a third of all pages is pre-aggregated before the
 shuffle; hits are joined back on salted keys.
@@ -25,13 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.session import spread
+from sheafline.session import cut, spread
 
-#: a subtree is template from so many pages, or from this share of the pages counted
+#: a subtree is template from so many pages of its host, or of all hosts
 MIN_PAGES = 3
-HOST_SHARE = 0.005
 MIN_PAGES_ALL = 6
-ALL_SHARE = 0.001
 SALTS = 16
 
 _LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
@@ -40,6 +39,7 @@ _HEAD = re.compile(r"^#{1,2} ")
 _LABEL_MARK = re.compile(r"^#{3,6} |^\*\*|\*\*$")
 _END = (".", "!", "?", "…", "。", ":", ";", '."', ".”", "?”", ".)", ".»", ".“")
 _DIGIT = re.compile(r"\d")
+_RULE = re.compile(r"[-*_]{3,}")
 _NO_PLAIN = re.compile("[^a-z0-9\x01]+")
 
 
@@ -76,66 +76,85 @@ def digest(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
-def page_hashes(body: str, title: str | None) -> dict[int, list[int]]:
-    """hash -> lines, for the lines and blocks of a page."""
-    title = " ".join((title or "").split()).lower()
-    out: dict[int, list[int]] = {}
-    block: list[tuple[int, str]] = []
+def blocks_of(lines: list[str]) -> list[list[int]]:
+    """Line numbers of the blocks between blank lines; a heading is a block of its own."""
+    out: list[list[int]] = [[]]
+    for n, x in enumerate(lines):
+        if not x:
+            out.append([])
+        elif _HEAD.match(x) or n and _HEAD.match(lines[n - 1]):
+            out.append([n])
+        else:
+            out[-1].append(n)
+    return [b for b in out if b]
 
-    def close() -> None:
-        if len(block) > 1:
-            out.setdefault(digest("\x03" + "\n".join(keys(s, title)[0] for _, s in block)), []).extend(n for n, _ in block)
-        block.clear()
 
-    for n, line in enumerate(body.split("\n")):
-        if not line.strip():
-            close()
-            continue
-        block.append((n, line))
-        for key in keys(line, title):
-            out.setdefault(digest(key), []).append(n)
-    close()
-    return out
+def subtrees(lines: list[str], title: str) -> tuple[list[list[int]], list[list[int]]]:
+    """Per line the hashes of the line itself (exact, and as a link row), and of the subtrees it is in: its block, the label
+    with the block under it, and the whole part ahead of the title or below a rule.
+
+    A block's hash is made of its lines' normal forms; that of a larger subtree of its blocks' shapes (link rows and labels as
+    they stand, other lines by kind), so that a list of changing links under a known label is one subtree on every page.
+    """
+    own = [[digest(k) for k in keys(x, title)] if x else [] for x in lines]
+    held: list[list[int]] = [[] for _ in lines]
+    blocks = blocks_of(lines)
+
+    def kind(n: int) -> str:
+        x = lines[n]
+        return "link" if _LINK_ROW.match(x) else "#" if _HEAD.match(x) else "text" if is_sentence(x) else "-" if x[0] in "-*+" else "|" if x.startswith("|") else "line"
+
+    def add(key: str, ns: list[int]) -> None:
+        h = digest(key)
+        for n in ns:
+            held[n].append(h)
+
+    for k, block in enumerate(blocks):
+        if len(block) > 1:
+            add("\x03" + "\n".join(keys(lines[n], title)[0] for n in block), block)
+        first = keys(lines[block[0]], title)[0]
+        under = block[1:] if len(block) > 1 else blocks[k + 1] if k + 1 < len(blocks) else []
+        if under and not is_sentence(lines[block[0]]) and not _HEAD.match(lines[block[0]]) and not _LINK_ROW.match(lines[block[0]]):
+            add("\x04" + first + "\n" + ",".join(sorted({kind(n) for n in under})), [block[0], *under])
+    head = next((n for n, x in enumerate(lines) if x.startswith("# ")), 0)
+    top = [n for n in range(head) if lines[n]]
+    if top:
+        add("\x05" + ",".join(sorted({kind(n) for n in top})), top)
+    rule = next((n for n in range(len(lines) - 1, head, -1) if _RULE.fullmatch(lines[n])), None)
+    if rule is not None and not any(_HEAD.match(lines[n]) for n in range(rule, len(lines))):
+        tail = [n for n in range(rule, len(lines)) if lines[n]]
+        add("\x06" + ",".join(sorted({kind(n) for n in tail})), tail)
+    return own, held
+
+
+def page_hashes(body: str, title: str | None) -> set[int]:
+    """The hashes of a page's lines and subtrees."""
+    own, held = subtrees([x.strip() for x in body.split("\n")], " ".join((title or "").split()).lower())
+    return {h for hs in (*own, *held) for h in hs}
 
 
 def furniture(body: str, title: str | None, template: set[int]) -> list[int]:
-    """The lines to delete, given the hashes that are template."""
-    title_key = " ".join((title or "").split()).lower()
+    """The lines to delete, given the hashes that are template: a page without template subtrees is left as it is."""
+    if not template:
+        return []
     lines = [x.strip() for x in body.split("\n")]
+    own, held = subtrees(lines, " ".join((title or "").split()).lower())
+    recurs = [bool(hs) and hs[0] in template for hs in own]
+    link_recurs = [len(hs) > 1 and hs[1] in template for hs in own]
+    within = [any(h in template for h in hs) for hs in held]
     head = next((n for n, x in enumerate(lines) if x.startswith("# ")), -1)
-    by_hash = page_hashes(body, title) if template else {}
-    recurs = [False] * len(lines)  # the exact line
-    link_recurs = [False] * len(lines)
-    for n, x in enumerate(lines):
-        if x:
-            hs = [digest(k) for k in keys(x, title_key)]
-            recurs[n] = hs[0] in template
-            link_recurs[n] = len(hs) > 1 and hs[1] in template
-    for h, where in by_hash.items():
-        if h in template and len(where) > 1:  # a block that recurs as a whole
-            for n in where:
-                recurs[n] = recurs[n] or not is_sentence(lines[n])
     out: list[int] = []
-
-    blocks: list[list[int]] = [[]]
-    for n, x in enumerate(lines):
-        if not x:
-            blocks.append([])
-        elif _HEAD.match(x) or n and _HEAD.match(lines[n - 1]):
-            blocks.append([n])
-        else:
-            blocks[-1].append(n)
     before = ""  # what the block before was: title, section, text, label, template
     tail = False
-    for block in blocks:
-        if not block:
-            continue
+    for block in blocks_of(lines):
         first = lines[block[0]]
         if _HEAD.match(first):
             before, tail = ("title" if first.startswith("# ") else "section"), False
             continue
+        known = [recurs[n] or link_recurs[n] or within[n] for n in block]
         if block[0] < head:  # ahead of the title: header, menu, breadcrumb
-            out.extend(n for n in block if not (is_sentence(lines[n]) and not recurs[n] and len(block) == 1 and len(lines[n]) > 60))
+            if any(known):
+                out.extend(n for n in block if not (is_sentence(lines[n]) and not recurs[n] and len(block) == 1 and len(lines[n]) > 60))
             continue
         if all(lines[n].startswith("|") and lines[n].endswith("|") for n in block) or first.startswith("```"):
             before = "text"
@@ -151,10 +170,10 @@ def furniture(body: str, title: str | None, template: set[int]) -> list[int]:
         if all(links) and before in ("section", "text") and all(lines[n][0] in "-*+" for n in block) and not any(lines[n].endswith("(#)") for n in block):
             before = "text"
             continue
-        labels = [n for k, n in enumerate(block) if (recurs[n] or link_recurs[n] or "](#" in lines[n]) and not sentences[k]]
-        rule = any(re.fullmatch(r"[-*_]{3,}", lines[n]) for n in block)
-        under_label = before == "label" and not any(sentences)
-        if labels or under_label or tail or rule or any(_LABEL_MARK.match(lines[n]) and link for n, link in zip(block, links[1:], strict=False)):
+        marks = [n for k, n in enumerate(block) if known[k] and not sentences[k]]
+        rule = any(_RULE.fullmatch(lines[n]) for n in block) and bool(marks)
+        under_label = before == "label" and not any(sentences)  # goes with its label
+        if marks or under_label or tail:
             out.extend(n for k, n in enumerate(block) if not sentences[k] or recurs[n] or under_label)
             before = "label" if len(block) == 1 and not tail and not rule else "template"
             tail = tail or rule
@@ -172,21 +191,18 @@ def pages(docs: DataFrame) -> DataFrame:
 
 def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(c, h, x) for c, h, t, b in zip(*(batch[k] for k in PAGE_COLUMNS), strict=True) for x in [*page_hashes(b, t), 0]]
+        rows = [(c, h, x) for c, h, t, b in zip(*(batch[k] for k in PAGE_COLUMNS), strict=True) for x in page_hashes(b, t)]
         yield pd.DataFrame(rows, columns=["canon_id", "host", "hash"])
 
 
 def template_hits(found_pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """canon_id, hashes: per page the hashes that are template on its host or everywhere. Hash 0 counts the pages."""
-    elements = found_pages.mapInPandas(_emit, "canon_id bigint, host string, hash bigint").groupBy("canon_id", "host", "hash").agg(F.lit(1).alias("one"))
+    """canon_id, hashes: per page the hashes that are template on its host or everywhere."""
+    # bodies are parsed once for all counts
+    elements = cut(found_pages.mapInPandas(_emit, "canon_id bigint, host string, hash bigint").distinct())
     counts = elements.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    sizes = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    on_host = counts.where("hash <> 0").join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(min_pages), F.col("pages") * HOST_SHARE)).select("host", "hash")
-    total = counts.groupBy("hash").agg(F.sum("n").alias("n"))
-    all_pages = total.where("hash = 0").select(F.col("n").alias("pages"))  # one row
-    everywhere = total.where("hash <> 0").join(F.broadcast(all_pages), F.col("n") >= F.greatest(F.lit(MIN_PAGES_ALL), F.col("pages") * ALL_SHARE)).select("hash")
+    everywhere = counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAGES_ALL).select("hash")
     # one row a (host, hash), so that no page meets a hash twice; replicated over the salts of its pages
-    template = on_host.unionByName(counts.where("hash <> 0").select("host", "hash").join(everywhere, "hash")).distinct()
+    template = counts.where(F.col("n") >= min_pages).select("host", "hash").unionByName(counts.select("host", "hash").join(everywhere, "hash", "left_semi")).distinct()
     salted = template.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = elements.withColumn("salt", F.pmod(F.hash("canon_id"), F.lit(SALTS))).join(salted, ["host", "hash", "salt"])
     return hits.groupBy("canon_id").agg(F.collect_set("hash").alias("hashes"))  # at most the elements of one page

@@ -101,6 +101,17 @@ def test_template_goes_and_article_stays(spark):
     assert page.furniture_lines(df.unionAll(df)).count() == sum(map(len, got.values()))
 
 
+def test_without_recurrence_nothing_goes(spark):
+    """A single page has no template; the same page among others of its host has one; a few pages of a large host suffice."""
+    alone = [(1, ".html", "1.html", "https://h.example/p/1.html", "Title number 1", web(1))]
+    assert page.furniture_lines(docs(spark, alone)).count() == 0
+    plain = [(100 + i, ".html", f"{i}.html", f"https://h.example/p/{i}.html", f"T{i}", f"# T{i}\n\nPage {i} holds {i * 13} words about case {i} of the hall.") for i in range(200)]
+    some = [(i, ".html", f"{i}.html", f"https://h.example/p/{i}.html", f"Title number {i}", web(i)) for i in range(3)]
+    got = page.furniture_lines(docs(spark, plain + some)).groupBy("canon_id").count().collect()
+    assert {r.canon_id for r in got} == {0, 1, 2} and len({r["count"] for r in got}) == 1
+    assert page.furniture(web(1), "Title number 1", set()) == []
+
+
 def test_page_edges(spark):
     rows = [(1, ".html", None, None, None, None), (2, ".htm", "x.htm", None, None, ""), (3, None, "x.html", "no uri", None, "just one sentence stands here."), (4, ".pdf", "x.pdf", None, None, "x"), (5, ".html", "y.html", "https://b.example/", "T", "# T\n\n" + "A long tale of paper. " * 20_000)]
     assert page.furniture_lines(docs(spark, rows)).count() == 0 and page.furniture_lines(docs(spark, [])).count() == 0
