@@ -36,7 +36,9 @@ BLOCK_WORDS = 2_000_000
 
 _JOINERS = "­​‌‍⁠﻿"
 # tags, entities and escape sequences are markup; what is left and alphanumeric is a word
-_TOKEN = re.compile(rf"</?[a-zA-Z!][^<>]{{0,400}}>|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]\w{{1,10}});|\\u[0-9a-fA-F]{{4}}|\\[nrtbf]|([^\W_]+(?:[{_JOINERS}]+[^\W_]+)*)")
+# (a long tag is one whose every attribute has a value, of any length)
+_LONG_TAG = r"""<[a-zA-Z][\w:-]*(?:\s+[\w:@.-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))+\s*/?>"""
+_TOKEN = re.compile(rf"</?[a-zA-Z!][^<>]{{0,400}}>|{_LONG_TAG}|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]\w{{1,10}});|\\u[0-9a-fA-F]{{4}}|\\[nrtbf]|([^\W_]+(?:[{_JOINERS}]+[^\W_]+)*)")
 _DROP = str.maketrans("", "", _JOINERS)
 
 

@@ -7,8 +7,8 @@ proportion to their size. Pareto order sampling ranks them by random odds over i
 has a fixed sample size at unequal probabilities. The random number of a document is a hash of its id and a seed, so a
 lost executor or another partitioning changes nothing.
 
-No source is ever gathered in one task: inclusion odds are solved on a histogram of sizes (at most 8 bins per doubling), and
-the n-th rank is found by counting ranks in bins, so that only the documents of the one bin at the border are sorted.
+No source is ever gathered in one task: inclusion odds are in proportion to the documents' exact sizes; their rate is solved
+on a histogram of sizes (exact ones below ``EXACT`` tokens, 64 bins per doubling above, each by its mean), and the n-th rank is found by counting ranks in bins, so that only the documents of the one bin at the border are sorted.
 
 Edge cases: null texts have no tokens and are never taken; null sources have no target; a document row given twice is one
 document; sources without documents, targets of null or zero share and repeats below one give a source that falls short or
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,8 +33,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANK_BINS = 1 << 16
 SEED = 20240
-#: longer texts are encoded in pieces of so many characters, cut before white space
+#: longer texts are encoded in pieces of about so many characters, cut where the split pattern has a boundary in any case
 PIECE = 200_000
+#: sizes below so many tokens have a bin each
+EXACT = 4096
 
 
 def _encoding(path: str):
@@ -44,13 +47,17 @@ def _encoding(path: str):
     return tiktoken.Encoding("sheafline", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W\d_])(?=\d)|(?<=\d)(?=[^\W\d_])")
+
+
 def _pieces(text: str) -> Iterator[str]:
     at = 0
     while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        yield text[at:cut]
-        at = cut
+        m = _BOUNDARY.search(text, at + PIECE)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
     yield text[at:]
 
 
@@ -101,9 +108,9 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     spark = documents.sparkSession
     sizes = cut(token_sizes(documents, tokenizer).where("tokens > 0 and source is not null"))
     plan = {r.source: r for r in owed(sizes, targets).collect()}  # one row a target
-    size_bin = F.floor(F.log2(F.col("tokens")) * 8).cast("int")
+    size_bin = F.when(F.col("tokens") < EXACT, F.col("tokens")).otherwise(EXACT + F.floor(F.log2(F.col("tokens")) * 64)).cast("int")
     histogram: dict[str, list[tuple[float, int, float]]] = {}
-    for r in sizes.groupBy("source", size_bin.alias("b")).agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect():  # at most 8 bins per doubling and source
+    for r in sizes.groupBy("source", size_bin.alias("b")).agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).collect():  # at most EXACT bins a source, and 64 per doubling beyond
         histogram.setdefault(r.source, []).append((r.t / r.n, r.n, float(r.t)))
     rows = []
     for source, r in plan.items():
@@ -116,7 +123,7 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
         rows.append((source, whole, min(c, 1e9), int(round(expected))))
     rates = spark.createDataFrame(rows, "source string, whole int, rate double, draw long")
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
-    lam = F.least(F.lit(1.0), F.col("rate") * F.pow(F.lit(2.0), (size_bin + 0.5) / 8))
+    lam = F.least(F.lit(1.0), F.col("rate") * F.col("tokens"))
     ranked = sizes.join(F.broadcast(rates), "source").withColumn("lam", lam).withColumn("u", u)
     # random odds over inclusion odds; the certain ones come first
     odds = F.when(F.col("lam") >= 1.0, F.lit(0.0)).when(F.col("lam") <= 0.0, F.lit(1e300)).otherwise((F.col("u") / (1 - F.col("u"))) / (F.col("lam") / (1 - F.col("lam"))))

@@ -79,3 +79,9 @@ def test_spans_cover_the_passage(spark):
 def test_empty_tables(spark, docs, items):
     df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     assert leak.leaked_pairs(df, it).count() == 0 and leak.removal_spans(df, it).count() == 0
+
+
+def test_long_tags_are_markup_and_long_comparisons_are_words():
+    tag = '<img alt="' + "many words " * 60 + '" src="a.png">'
+    assert leak.words(f"one {tag} two") == ["one", "two"]
+    assert len(leak.words("if a <b then " + "word " * 200 + "> c")) == 204
