@@ -79,3 +79,36 @@ def verify(leaf_rows: DataFrame, attested: DataFrame) -> DataFrame:
     a, b = leaf_rows.select("path", F.col("leaf").alias("now")), attested.select("path", F.col("leaf").alias("then"))
     state = F.when(F.col("then").isNull(), "unexpected").when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("then"), "changed").otherwise("ok")
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A flat JSON object with its keys sorted and no white space, the same bytes for the same values."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in sorted(fields.items())]), {"ignoreNullFields": "false"})
+
+
+def proven(leaf_rows: DataFrame, proof_rows: DataFrame, root: str) -> DataFrame:
+    """path, ok: does each leaf's proof lead to the root?"""
+    steps = proof_rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("step", "sibling", "side"))).alias("steps"))
+    up = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<step:int,sibling:string,side:string>>")), F.col("leaf"), lambda acc, s: F.when(s["side"] == "right", parent(acc, s["sibling"])).otherwise(parent(s["sibling"], acc)))
+    return leaf_rows.join(steps, "path", "left").select("path", (up == root).alias("ok"))
+
+
+def verified(leaf_rows: DataFrame, attested: DataFrame, root: str) -> DataFrame:
+    """One row: map_ok (the same paths and leaves), root_ok, proofs_ok, and the counts of each state."""
+    states = verify(leaf_rows, attested).agg(*[F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("ok", "changed", "missing", "unexpected")])
+    own = merkle_root(leaf_rows).select((F.col("root") == root).alias("root_ok"))
+    held = proven(leaf_rows, proofs(leaf_rows), root).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("proofs_ok"))
+    return states.crossJoin(F.broadcast(own)).crossJoin(F.broadcast(held)).select(((F.col("n_changed") + F.col("n_missing") + F.col("n_unexpected")) == 0).alias("map_ok"), "root_ok", "proofs_ok", *[f"n_{s}" for s in ("ok", "changed", "missing", "unexpected")])
+
+
+def statement(leaf_rows: DataFrame, root: str, version: str = "1") -> DataFrame:
+    """part, line: an in-toto statement in lines that a distributed writer can save: a head, an output a leaf in path order, a foot.
+
+    The lines joined are one JSON document; no task holds all outputs.
+    """
+    n = numbered(leaf_rows)
+    line = F.concat(F.when(F.col("idx") == 0, "").otherwise(","), F.to_json(F.struct("path", F.col("leaf").alias("sha256"))))
+    rows = n.select((F.col("idx") + 1).alias("part"), line.alias("line"))
+    head = '{"_type":"https://in-toto.io/Statement/v1","subject":[{"name":"bundle","digest":{"sha256":"' + root + '"}}],"predicate":{"schema_version":"' + version + '","merkle_root":"' + root + '","outputs":['
+    ends = leaf_rows.sparkSession.createDataFrame([(0, head), (2**62, "]}}")], "part long, line string")
+    return rows.unionByName(ends)

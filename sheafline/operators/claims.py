@@ -22,15 +22,36 @@ def normalized(c: Column) -> Column:
 
 
 def claims(chunks: DataFrame, key: str, text: str, scope: Column) -> DataFrame:
-    """claim_id, kind, value, chunk, scope, kind_no, position."""
-    out = None
-    for no, (kind, rx) in enumerate(PATTERNS.items()):
-        found = chunks.select(F.col(key).cast("string").alias("chunk"), scope.alias("scope"), F.posexplode(F.regexp_extract_all(text, F.lit(rx), F.lit(1))).alias("position", "raw"))
-        part = found.select("chunk", "scope", F.lit(kind).alias("kind"), normalized(F.col("raw")).alias("value"), F.lit(no).alias("kind_no"), "position")
-        out = part if out is None else out.unionByName(part)
+    """claim_id, kind, value, chunk, scope, kind_no, position. The texts are read once, for all kinds."""
+    def of(kind: str, no: int) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1)), lambda raw, i: F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), F.lit(no).alias("kind_no"), i.alias("position")))
+
+    found = [of(kind, no) for no, kind in enumerate(PATTERNS)]
+    out = chunks.select(F.col(key).cast("string").alias("chunk"), scope.alias("scope"), F.explode(F.concat(*found)).alias("f"))
+    out = out.select("chunk", "scope", "f.kind", normalized(F.col("f.raw")).alias("value"), "f.kind_no", "f.position")
     return out.withColumn("claim_id", joined_id(F.col("kind"), F.col("value"), F.col("chunk")))
 
 
+def checked(all_claims: DataFrame, order: str = "chunk", cap: int = CAP, kinds_off: tuple[str, ...] = ()) -> DataFrame:
+    """finding, scope, kind, left_value, right_value, n_pairs: the findings of a bundle's claims.
+
+    Of more than ``cap`` claims there is one finding ``claims_too_many`` and no conflict. Else every two different values of a
+    kind and scope conflict, given once with the number of claim pairs behind it, so that pairs of equal values in a hot scope
+    are never enumerated. ``kinds_off``: kinds whose conflicts a policy has switched off.
+    """
+    size = all_claims.agg(F.count("*").alias("total"))  # one row
+    per_value = all_claims.where(~F.col("kind").isin(*kinds_off) if kinds_off else F.lit(True)).groupBy("scope", "kind", "value").agg(F.count("*").alias("n"))
+    # within the cap there are at most `cap` values; beyond it the join is never filled
+    few = per_value.crossJoin(F.broadcast(size)).where(F.col("total") <= cap)
+    left = few.select("scope", "kind", F.col("value").alias("left_value"), F.col("n").alias("ln"))
+    right = few.select("scope", "kind", F.col("value").alias("right_value"), F.col("n").alias("rn"))
+    pairs = left.join(right, ["scope", "kind"]).where("left_value < right_value")
+    conflicts_ = pairs.select(F.lit("claim_conflict").alias("finding"), "scope", "kind", "left_value", "right_value", (F.col("ln") * F.col("rn")).alias("n_pairs"))
+    null = F.lit(None).cast("string")
+    many = size.where(F.col("total") > cap).select(F.lit("claims_too_many").alias("finding"), null.alias("scope"), null.alias("kind"), null.alias("left_value"), null.alias("right_value"), F.col("total").alias("n_pairs"))
+    return conflicts_.unionByName(many)
+
+
 def capped(all_claims: DataFrame, cap: int = CAP) -> DataFrame:
     """total, kept, too_many: a bundle with more claims than the cap keeps the first and gets one finding instead of conflicts."""
     return all_claims.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(cap)).alias("kept"), (F.col("total") > cap).alias("too_many"))

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.sources.adapters import AdapterError  # noqa: F401 - the error type of broken inputs
 
 #: kinds of blocks and how they begin (fixed patterns)
 _KINDS = (("heading", r"^#{1,6}\s"), ("table", r"^\|"), ("code", r"^```"), ("list", r"^(?:[-*+]\s|\d+\.\s)"), ("attachment_ref", r"^!?\[[^\]]*\]\([^)]+\)$"))
@@ -75,3 +74,20 @@ def cells(tables: DataFrame, key: str, text: str) -> DataFrame:
 def cell_changes(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.withColumnRenamed("value", "before"), right.withColumnRenamed("value", "after")
     return a.join(b, [key, "row", "col"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def frontmatter_changes(pairs: DataFrame, key: str, left: str = "left", right: str = "right") -> DataFrame:
+    """key, field, before, after of every field that differs between two maps of fields; a missing field is null."""
+    names = F.array_sort(F.array_distinct(F.concat(F.map_keys(left), F.map_keys(right))))
+    rows = F.transform(names, lambda k: F.struct(k.alias("field"), F.try_element_at(F.col(left), k).alias("before"), F.try_element_at(F.col(right), k).alias("after")))
+    return pairs.select(key, F.explode(F.filter(rows, lambda r: ~r["before"].eqNullSafe(r["after"]))).alias("r")).select(key, "r.field", "r.before", "r.after")
+
+
+def report(changes: DataFrame, key: str) -> DataFrame:
+    """key, report: the counts by status and a table of the changes (kind, status, before, after) as Markdown."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    statuses = ("added", "removed", "modified", "moved", "unchanged")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("status") != "unchanged", F.struct("status", "kind", "before", "after")))), lambda r: F.concat(F.lit("| "), r["kind"], F.lit(" | "), r["status"], F.lit(" | "), cell(r["before"]), F.lit(" | "), cell(r["after"]), F.lit(" |")))
+    g = changes.groupBy(key).agg(lines.alias("lines"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses])  # the changes of one document
+    counts = F.concat_ws("\n", *[F.concat(F.lit(f"| {s} | "), F.col(s).cast("string"), F.lit(" |")) for s in statuses])
+    return g.select(key, F.concat(F.lit("| Status | Count |\n|---|---:|\n"), counts, F.lit("\n\n| Kind | Status | Left | Right |\n|---|---|---|---|\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("report"))

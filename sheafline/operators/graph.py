@@ -25,19 +25,25 @@ def build_edges(chunks: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     ``known`` holds concept_id of the link targets that exist; links to others are dropped.
     """
-    c = chunks.select("id", "concept_id", "source_sha256", "heading_path", "text")
     chunk, concept = F.concat(F.lit("chunk:"), F.col("id")), F.concat(F.lit("concept:"), F.col("concept_id"))
-    row = lambda kind, a, b, method, status: (F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"), F.col("id").alias("evidence"), F.lit(method).alias("method"), F.lit(status).alias("status"))
-    contains = c.select(*row("contains", concept, chunk, "canonical_chunks/v1", "explicit"))
-    cites = c.where("source_sha256 is not null").select(*row("cites", chunk, F.concat(F.lit("source:"), F.col("source_sha256")), "canonical_chunks/v1", "explicit"))
-    headed = c.select("id", F.explode("heading_path").alias("label"))
-    topics = headed.select(*row("mentions", chunk, _topic("topic", F.col("label")), "heading_topic/v1", "unverified"))
-    named = c.select("id", F.explode(entities(F.col("text"))).alias("label"))
-    people = named.select(*row("mentions", chunk, _topic("entity", F.col("label")), "capitalized_entity/v1", "unverified"))
-    targets = c.select("id", "concept_id", F.explode(links(F.col("text"))).alias("raw")).withColumn("target", link_target(F.col("concept_id"), F.col("raw"))).where("target is not null and target <> concept_id")
-    known = (known if known is not None else c).select(F.col("concept_id").alias("target")).distinct()
-    linked = targets.join(known, "target", "left_semi").select(*row("mentions", concept, F.concat(F.lit("concept:"), F.col("target")), "markdown_link/v1", "explicit"))
-    return contains.unionByName(cites).unionByName(topics).unionByName(people).unionByName(linked)
+
+    def edge(kind: str, a: Column, b: Column, method: str, status: str, target: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"), F.lit(method).alias("method"), F.lit(status).alias("status"), (F.lit(None).cast("string") if target is None else target).alias("target"))
+
+    none = F.array().cast("array<string>")
+    paths = F.transform(F.coalesce(links(F.col("text")), none), lambda raw: link_target(F.col("concept_id"), raw))
+    # all edges of a chunk at once: the chunks are read once, and only link targets are joined
+    found = F.concat(
+        F.array(edge("contains", concept, chunk, "canonical_chunks/v1", "explicit")),
+        F.when(F.col("source_sha256").isNotNull(), F.array(edge("cites", chunk, F.concat(F.lit("source:"), F.col("source_sha256")), "canonical_chunks/v1", "explicit"))).otherwise(F.array()),
+        F.transform(F.coalesce("heading_path", none), lambda x: edge("mentions", chunk, _topic("topic", x), "heading_topic/v1", "unverified")),
+        F.transform(F.coalesce(entities(F.col("text")), none), lambda x: edge("mentions", chunk, _topic("entity", x), "capitalized_entity/v1", "unverified")),
+        F.transform(F.filter(paths, lambda t: t.isNotNull() & (t != F.col("concept_id"))), lambda t: edge("mentions", concept, F.concat(F.lit("concept:"), t), "markdown_link/v1", "explicit", t)),
+    )
+    rows = chunks.select(F.col("id").alias("evidence"), F.explode(found).alias("e")).select("evidence", "e.*")
+    there = (known if known is not None else chunks).select(F.col("concept_id").alias("target")).where("target is not null").distinct().withColumn("there", F.lit(True))
+    linked = rows.join(there, "target", "left").where("target is null or there")
+    return linked.select("kind", "from_id", "to_id", "evidence", "method", "status")
 
 
 def build_nodes(edges: DataFrame) -> DataFrame:

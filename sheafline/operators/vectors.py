@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,10 +36,12 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """A deterministic embedding without a model: signed hashed words, unit length."""
     from sheafline.functions.text import terms
 
+    # the words are hashed once and bound, not made again for every slot
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
     slots = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimension * 2)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: (F.size(F.filter(slots, lambda s: s == i)) - F.size(F.filter(slots, lambda s: s == i + dimension))).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+    signs = lambda ss: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(ss, F.lit(0.0), lambda a, x: a + F.when(x == i, 1.0).when(x == i + dimension, -1.0).otherwise(0.0)))
+    unit = lambda counts: bound(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: F.transform(counts, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm)))
+    return bound(bound(slots, signs), unit)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -96,3 +98,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec
         return spark.createDataFrame([], f"query_id bigint, {key} bigint, rank int, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", key, "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def upsert(cache: DataFrame, fresh: DataFrame, key: str = "key") -> DataFrame:
+    """The cache with fresh records in place of older ones of their key; a payload's text is not kept."""
+    new = fresh.drop("text")
+    return cache.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+class Providers:
+    """Embedding providers by name; a provider states model, dimension and version, and makes a vector column of a text column."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, tuple[str, int, str, Callable[[Column], Column]]] = {}
+
+    def register(self, name: str, model: str, dimension: int, version: str, embed: Callable[[Column], Column]) -> None:
+        if name in self.known:
+            raise ValueError(f"provider {name} exists")
+        if not (name and model and version) or dimension < 1 or not callable(embed):
+            raise ValueError("a provider needs a name, a model, a version, a dimension and a function of a text column")
+        self.known[name] = (model, dimension, version, embed)
+
+    def refresh(self, cache: DataFrame, chunks: DataFrame, name: str, text: str = "text") -> DataFrame:
+        """key, embedding: only texts the cache lacks are embedded; vectors of texts that are gone are dropped."""
+        model, dimension, version, embed = self.known[name]
+        wanted = chunks.where(F.col(text).isNotNull()).select(vector_key(F.col(text), name, model, dimension, version).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+        made = misses(wanted, cache).select("key", "text", embed(F.col("text")).alias("embedding"))
+        return prune(upsert(cache, made), wanted, "key")

@@ -515,12 +515,14 @@ add("q18_anchor_recall", on(lambda t: t.where("body_md is not null and title is
 
 def _engine_deltas(s: SparkSession, d: str) -> DataFrame:
     r = reports.distinct_runs(table(s, d, "run_results")).where("engine is not null")
-    m = lambda cond: r.where(cond).groupBy("engine").agg(F.avg("duration_seconds").alias("seconds"), F.avg("confidence").alias("confidence"))
+    # sums of decimals are exact, so no order of addition moves a difference over a half
+    mean = lambda c: F.sum(F.col(c).cast("decimal(20,9)")).cast("double") / F.count(c)
+    m = lambda cond: r.where(cond).groupBy("engine").agg(mean("duration_seconds").alias("seconds"), mean("confidence").alias("confidence"))
     return benchmark.deltas(m("finished_at >= timestamp'2025-01-01'"), m("finished_at < timestamp'2025-01-01'"), "engine", ("seconds", "confidence"))
 
 
 add("q19_deltas", _engine_deltas,
-    f"with {RUNS}, m as (select engine, finished_at >= timestamp '2025-01-01' as late, avg(duration_seconds) as seconds, avg(confidence) as confidence from runs where engine is not null group by all), j as (select c.engine, c.seconds - b.seconds as s, c.confidence - b.confidence as k from m c join m b using (engine) where c.late and not b.late) select engine, 'seconds' as metric, round(s, 6) as delta from j union all select engine, 'confidence', round(k, 6) from j")
+    f"with {RUNS}, m as (select engine, finished_at >= timestamp '2025-01-01' as late, cast(sum(cast(duration_seconds as decimal(20,9))) as double) / count(duration_seconds) as seconds, cast(sum(cast(confidence as decimal(20,9))) as double) / count(confidence) as confidence from runs where engine is not null group by all), j as (select c.engine, c.seconds - b.seconds as s, c.confidence - b.confidence as k from m c join m b using (engine) where c.late and not b.late) select engine, 'seconds' as metric, round(s, 6) as delta from j union all select engine, 'confidence', round(k, 6) from j")
 add("fn20_uri_path", on(lambda t: t.where("source_uri is not null").select("canon_id", F.regexp_replace("source_uri", "^[a-z]+://[^/]*/", "").alias("path")), "canonical_docs"),
     "select canon_id, regexp_replace(source_uri, '^[a-z]+://[^/]*/', '') as path from canonical_docs where source_uri is not null")
 add("fn24_node_size", on(lambda t: t.where("source_relpath is not null").select("canon_id", F.greatest(F.lit(24), F.least(F.lit(70), 24 + F.floor(F.length(F.coalesce("body_md", F.lit(""))) / 200))).cast("bigint").alias("size"), F.when(F.col("source_relpath").contains("/"), F.substring_index("source_relpath", "/", 1)).otherwise("(root)").alias("grp")), "canonical_docs"),

@@ -253,15 +253,14 @@ def eml(content: bytes, stem: str) -> Iterator[Record]:
 
 
 def mbox(content: bytes, stem: str) -> Iterator[Record]:
-    with tempfile.NamedTemporaryFile(suffix=".mbox") as f:
-        f.write(content)
-        f.flush()
-        box = mailbox.mbox(f.name, factory=lambda x: email.message_from_binary_file(x, policy=email.policy.default))
-        for n, msg in enumerate(box, 1):
-            r = _message(msg)
-            r.title = f"{stem} — {r.title or '(no subject)'}"
-            r.metadata["message_index"] = str(n)
-            yield r
+    """The messages between "From " lines that follow a blank line (or stand first), read from memory."""
+    starts = [m.start(1) for m in re.finditer(rb"(?:\A|\r?\n\r?\n|\A\r?\n)(From [^\r\n]*\r?\n)", content)]
+    for n, (at, end) in enumerate(zip(starts, [*starts[1:], len(content)], strict=True), 1):
+        raw = content[at:end].split(b"\n", 1)[1]
+        r = _message(email.message_from_bytes(re.sub(rb"(?m)^>(>*From )", rb"\1", raw), policy=email.policy.default))
+        r.title = f"{stem} — {r.title or '(no subject)'}"
+        r.metadata["message_index"] = str(n)
+        yield r
 
 
 def rtf(content: bytes, stem: str) -> Iterator[Record]:
