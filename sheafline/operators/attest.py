@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +43,65 @@ def parent(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(left), F.unhex(right)), 256)
 
 
-def levels(leaf_rows: DataFrame) -> list[DataFrame]:
-    """(idx, node) of each level; an unpaired last node is carried up, which equals splitting at the largest power of two."""
-    level = numbered(leaf_rows).select("idx", F.col("leaf").alias("node"))
-    out = [level]
-    n = level.count()
-    while n > 1:
-        pairs = level.groupBy(F.floor(F.col("idx") / 2).cast("bigint").alias("up")).agg(F.min_by("node", "idx").alias("l"), F.max_by("node", "idx").alias("r"), F.count("*").alias("n"))
-        level = cut(pairs.select(F.col("up").alias("idx"), F.when(F.col("n") == 2, parent(F.col("l"), F.col("r"))).otherwise(F.col("l")).alias("node")))
-        out.append(level)
-        n = (n + 1) // 2
-    return out
+#: levels of the tree that one task folds at once: aligned runs of 2 ** FOLD nodes
+FOLD = 10
+
+
+def fold(nodes: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(level, index, node) above an aligned run of nodes, FOLD levels up; an unpaired last node is carried up as it is."""
+    for level in range(1, FOLD + 1):
+        nodes = [hashlib.sha256(b"\x01" + nodes[i] + nodes[i + 1]).digest() if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        for i, x in enumerate(nodes):
+            yield level, i, x
+
+
+def tree(leaf_rows: DataFrame, inner: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """(path, leaf, idx; level, idx, node; number of leaves): the whole tree in one round for every FOLD levels.
+
+    Without ``inner`` only the nodes of every FOLD-th level are kept, which end in the root.
+    """
+    own = cut(numbered(leaf_rows))
+    n = own.count()
+    level = own.select(F.lit(0).alias("level"), "idx", F.col("leaf").alias("node"))
+    out, base, left = level, 0, n
+    while left > 1:
+
+        def run(batches: Iterator[pd.DataFrame], base=base) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for block, nodes in zip(batch["block"], batch["nodes"], strict=True):
+                    for up, i, x in fold([bytes.fromhex(v["node"]) for v in nodes]):
+                        if inner or up == FOLD:
+                            rows.append((base + up, (int(block) << (FOLD - up)) + i, x.hex()))
+                yield pd.DataFrame(rows, columns=["level", "idx", "node"])
+
+        runs = level.groupBy(F.shiftright("idx", FOLD).alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "node"))).alias("nodes"))  # at most 2 ** FOLD nodes
+        above = cut(runs.mapInPandas(run, "level int, idx long, node string"))
+        base += FOLD
+        left = -(-left >> FOLD)
+        level = above.where(F.col("level") == base)
+        out = out.unionByName(above)
+    return own, out, n
 
 
 def merkle_root(leaf_rows: DataFrame) -> DataFrame:
     """n_leaves, root: one row."""
-    steps = levels(leaf_rows)
-    n = steps[0].count()
+    _, nodes, n = tree(leaf_rows, inner=False)
     if n == 0:
         return leaf_rows.sparkSession.createDataFrame([(0, EMPTY_ROOT)], "n_leaves long, root string")
-    return steps[-1].select(F.lit(n).cast("bigint").alias("n_leaves"), F.col("node").alias("root"))
+    return nodes.where("idx = 0").orderBy(F.desc("level")).limit(1).select(F.lit(n).cast("bigint").alias("n_leaves"), F.col("node").alias("root"))
 
 
 def proofs(leaf_rows: DataFrame) -> DataFrame:
     """path, step, sibling, side: the siblings from the leaf up."""
-    steps = levels(leaf_rows)
-    out = None
-    own = numbered(leaf_rows).select("path", F.col("idx").alias("leaf_idx"))
-    for step, level in enumerate(steps[:-1]):
-        at = F.shiftright("leaf_idx", step).cast("bigint")
-        sib = own.withColumn("sib", at.bitwiseXOR(F.lit(1).cast("bigint"))).join(level.select(F.col("idx").alias("sib"), F.col("node").alias("sibling")), "sib")
-        part = sib.select("path", F.lit(step).alias("step"), "sibling", F.when(F.col("sib") % 2 == 1, "right").otherwise("left").alias("side"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else leaf_rows.sparkSession.createDataFrame([], "path string, step int, sibling string, side string")
+    own, nodes, n = tree(leaf_rows)
+    steps = max(0, (n - 1).bit_length())
+    if not steps:
+        return leaf_rows.sparkSession.createDataFrame([], "path string, step int, sibling string, side string")
+    asked = own.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.struct(k.alias("step"), F.expr("shiftright(idx, 0)").alias("at")))).alias("s"))
+    asked = asked.select("path", "s.step", F.expr("(s.at >> s.step) ^ 1L").alias("sib"))
+    named = nodes.select(F.col("level").alias("step"), F.col("idx").alias("sib"), F.col("node").alias("sibling"))
+    return asked.join(named, ["step", "sib"]).select("path", "step", "sibling", F.when(F.col("sib") % 2 == 1, "right").otherwise("left").alias("side"))
 
 
 def verify(leaf_rows: DataFrame, attested: DataFrame) -> DataFrame:

@@ -37,13 +37,21 @@ ORDER_CONCEPTS_SQL = """order_concepts as (
   left join (select l_orderkey, string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || cast(l_quantity as bigint) || ' |', chr(10) order by l_linenumber) as rows from lineitem group by l_orderkey) on l_orderkey = o_orderkey)"""
 
 
+def block_array(body: Column) -> Column:
+    """array<struct<ordinal, kind, text>>: the blocks between blank lines."""
+    parts = F.filter(F.split(F.regexp_replace(body, "^\\s+|\\s+$", ""), "\\n\\s*\\n"), lambda x: ~x.rlike("^\\s*$"))
+
+    def one(raw: Column, ordinal: Column) -> Column:
+        text = F.regexp_replace(raw, "^\\s+|\\s+$", "")
+        kind = F.when(text.rlike("^#{1,6}\\s+[^\\n]+$"), "heading").when(F.ltrim(raw).startswith("|"), "table").otherwise("paragraph")
+        return F.struct(ordinal.alias("ordinal"), kind.alias("kind"), text.alias("text"))
+
+    return F.transform(parts, one)
+
+
 def blocks(concepts: DataFrame, body: str = "body", key: str = "concept_id") -> DataFrame:
     """key, ordinal, kind, text: the blocks between blank lines."""
-    parts = F.filter(F.split(F.regexp_replace(F.col(body), "^\\s+|\\s+$", ""), "\\n\\s*\\n"), lambda x: ~x.rlike("^\\s*$"))
-    b = concepts.select(key, F.posexplode(parts).alias("ordinal", "raw"))
-    text = F.regexp_replace("raw", "^\\s+|\\s+$", "")
-    kind = F.when(text.rlike("^#{1,6}\\s+[^\\n]+$"), "heading").when(F.ltrim(F.col("raw")).startswith("|"), "table").otherwise("paragraph")
-    return b.select(key, "ordinal", kind.alias("kind"), text.alias("text"))
+    return concepts.select(key, F.explode(block_array(F.col(body))).alias("b")).select(key, "b.ordinal", "b.kind", "b.text")
 
 
 def pack(elements: Column, max_chars: int = MAX_CHARS) -> Column:
@@ -80,8 +88,8 @@ def pack(elements: Column, max_chars: int = MAX_CHARS) -> Column:
 
 def chunks_of(concepts: DataFrame, body: str = "body", key: str = "concept_id", max_chars: int = MAX_CHARS) -> DataFrame:
     """key, ordinal, heading, text, token_estimate, oversize, chunk_id."""
-    elements = F.array_sort(F.collect_list(F.struct("ordinal", "kind", "text")))
-    packed = blocks(concepts, body, key).groupBy(key).agg(pack(elements, max_chars).alias("chunks"))
+    # the blocks stay an array of their row: nothing is shuffled, and a key given twice stays two documents
+    packed = concepts.select(key, pack(block_array(F.col(body)), max_chars).alias("chunks"))
     c = packed.select(key, F.posexplode("chunks").alias("ordinal", "c"))
     ident = joined_id(F.col(key).cast("string"), F.array_join(F.col("c.ordinals").cast("array<string>"), ","), F.col("ordinal").cast("string"), F.lit("1"))
     return c.select(key, "ordinal", F.col("c.heading").alias("heading"), F.col("c.text").alias("text"), token_estimate(F.col("c.text")).alias("token_estimate"), (F.col("c.size") > max_chars).alias("oversize"), ident.alias("chunk_id"))

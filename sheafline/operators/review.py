@@ -26,5 +26,8 @@ def fold(events: DataFrame) -> DataFrame:
 def evidence_packet(docs: DataFrame, chunks: DataFrame, per_document: int = 5) -> DataFrame:
     """canon_id, chunk id, page, text of the first chunks of each document under review."""
     pending = docs.where("okf_verified = 'human:pending'").select("canon_id", "source_sha256")
-    w = Window.partitionBy("canon_id").orderBy("ordinal", "id")
-    return pending.join(chunks.select("id", "source_sha256", "ordinal", "text", F.col("citation.page").alias("page")), "source_sha256").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_document).select("canon_id", "id", "page", "text")
+    # the first chunks of a source are those of each of its documents: cut before the join, so a source of many chunks or
+    # documents multiplies nothing
+    w = Window.partitionBy("source_sha256").orderBy("ordinal", "id")
+    first = chunks.where("source_sha256 is not null").select("id", "source_sha256", "ordinal", "text", F.col("citation.page").alias("page")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_document)
+    return pending.join(first, "source_sha256").select("canon_id", "id", "page", "text")

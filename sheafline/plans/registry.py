@@ -531,7 +531,7 @@ add("fn29_confidence", on(lambda r: r.select("result_id", benchmark.confidence(F
     "select distinct result_id, round(case when status = 'ok' then 0.4 else 0 end + case when engine is not null then 0.3 else 0 end - case when engine is not null and len(list_filter(diagnostics, lambda x: x.code = 'OCR_LOW')) > 0 then 0.1 else 0 end + case when coalesce(confidence > 0.5, false) then 0.2 else 0 end + case when len(diagnostics) = 0 then 0.1 else 0 end::double, 6)::double as score from run_results")
 add("s11_bundles", lambda s, d: table(s, d, "bundle_registry").join(table(s, d, "canonical_docs").groupBy(F.col("bundle").alias("slug")).agg(F.count("*").alias("n_docs")), "slug", "left").select("slug", "bundle_path", F.coalesce("n_docs", F.lit(0)).alias("n_docs")),
     "select slug, bundle_path, count(canon_id) as n_docs from bundle_registry left join canonical_docs on bundle = slug group by all")
-add("k01_rendered", on(lambda t: concepts.blocks(t.where("body_md is not null"), "body_md", "canon_id").groupBy("canon_id").agg(F.length(emit.rendered(F.collect_list(F.struct("ordinal", "kind", "text")))).alias("n_chars")), "canonical_docs"))
+add("k01_rendered", on(lambda t: t.where("body_md is not null").select("canon_id", F.length(emit.rendered(concepts.block_array(F.col("body_md")))).alias("n_chars")).where("n_chars > 0"), "canonical_docs"))
 add("h05_provenance", on(lambda t: t.where(F.col("source_sha256").rlike(text.SHA256) & F.col("source_uri").isNotNull()).groupBy("source_sha256").agg(F.min("source_uri").alias("source_uri"), F.countDistinct("source_uri").alias("n_uris")), "canonical_docs"),
     "select source_sha256, min(source_uri) as source_uri, count(distinct source_uri) as n_uris from canonical_docs where regexp_full_match(source_sha256, '[0-9a-f]{64}') and source_uri is not null group by 1")
 add("u02_lost_chunks", lambda s, d: _chunks(s, d).select("source_sha256").distinct().exceptAll(table(s, d, "canonical_docs").select("source_sha256").distinct()), "select distinct source_sha256 from chunks where source_sha256 is not null except select source_sha256 from canonical_docs")
