@@ -45,10 +45,12 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str, key: str = "id", tie: tuple[str, ...] = ("concept_id", "ordinal")):
         self.spark, self.folder, self.key, self.tie = spark, folder, key, tie
         self.stats = spark.read.parquet(f"{folder}/stats").first()  # one row
+        lengths = spark.read.parquet(f"{folder}/lengths").schema
+        self.schema = f"term string, `{key}` {lengths[key].dataType.simpleString()}, tf bigint, positions array<int>, bucket int"
 
     def postings(self, words: list[str], prefixes: list[str] = ()) -> DataFrame:
         """term, key, positions of the words (their partitions only) and of the terms with a prefix."""
-        p = self.spark.read.parquet(f"{self.folder}/postings")
+        p = self.spark.read.schema(self.schema).parquet(f"{self.folder}/postings")
         cond = F.lit(False)
         if words:
             buckets = sorted({r.b for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"), self.stats.buckets).alias("b")).collect()})

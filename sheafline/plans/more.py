@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.operators import attest, claims, diff, factors, index_store, outputs, vectors
@@ -12,6 +12,7 @@ from sheafline.operators.reports import distinct_runs
 from sheafline.plans import registry
 from sheafline.plans.registry import _LEAVES_SQL, CONCEPT, DELIVERED, NOW, RUNS, _chunks, _leaves, _orders, _phrase_hits, _top_sql, _word_hits, add, on
 from sheafline.session import checkpoint_dir, table
+from sheafline.sources import adapters
 
 # ---- stored index ------------------------------------------------------------------------------------------------
 
@@ -194,6 +195,32 @@ add("v06_refresh", _refreshed_vectors, f"with {DELIVERED} select distinct sha256
 registry._SQL["k12_webhook"] = f"with {RUNS}, c as (select status, count(*) as n from runs group by status) select '{{' || string_agg('\"' || status || '\":' || n, ',' order by status) || '}}' as payload from c"
 
 
+# ---- readers over the tables' own bodies ---------------------------------------------------------------------------
+
+
+def _pdf_of(body: Column) -> Column:
+    """A PDF file (one page, uncompressed) that shows the body's lines, as UTF-16 hex strings."""
+    shows = F.array_join(F.transform(F.split(body, "\n"), lambda x: F.concat(F.lit("<FEFF"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*"))), "\n")
+    head = "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type /Pages /Kids [3 0 R 5 0 R] /Count 2>> endobj\n3 0 obj <</Type /Page /Parent 2 0 R /Contents 4 0 R>> endobj\n5 0 obj <</Type /Page /Parent 2 0 R>> endobj\n4 0 obj <<>> stream\nBT /F1 12 Tf 72 700 Td 14 TL\n"
+    return F.concat(F.lit(head), shows, F.lit("\nET\nendstream endobj\ntrailer <</Root 1 0 R>>\n%%EOF\n"))
+
+
+def _read_back(suffix: str, make, what: Column):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        docs = table(s, d, "canonical_docs").where("body_md is not null").select(F.concat(F.lit("in/"), F.col("canon_id").cast("string"), F.lit(suffix)).alias("relpath"), F.encode(make(F.col("body_md")), "UTF-8").alias("content"))
+        return adapters.extract(docs).select("relpath", "engine", "status", what.alias("letters"))
+
+    return run
+
+
+_LETTERS = F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^## Page 1\n\n|\n\n> \\*\\*Note:\\*\\* [^\n]*\n$|^> \\*\\*Note[^\n]*\n$", ""), "[^A-Za-z0-9]", ""), 256)
+_FENCED = F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^```text\n|\n```\n$", ""), "[^A-Za-z0-9]", ""), 256)
+_SAME = "select 'in/' || canon_id || '{0}' as relpath, '{1}' as engine, 'ok' as status, sha256(regexp_replace(body_md, '[^A-Za-z0-9]', '', 'g')) as letters from canonical_docs where body_md is not null"
+add("a13_pdf", _read_back(".pdf", _pdf_of, _LETTERS), _SAME.format(".pdf", "pdf"))
+add("a16_fallback", _read_back(".rst", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".rst", "fallback"))
+add("a01_txt_bodies", _read_back(".txt", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".txt", "txt"))
+
+
 def queries():
     return registry.queries()
 

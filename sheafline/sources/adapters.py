@@ -11,9 +11,7 @@ import email
 import email.policy
 import io
 import json
-import mailbox
 import re
-import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -375,6 +373,46 @@ def office(content: bytes, stem: str) -> Iterator[Record]:
     yield Record(stem, "\n\n".join(parts) + "\n")
 
 
+def pdf(content: bytes, stem: str) -> Iterator[Record]:
+    """The text of each page under its heading; pages without a text layer are named in a note."""
+    from sheafline.sources.pdf import PdfError, page_texts
+
+    try:
+        texts = page_texts(content)
+    except PdfError as e:
+        raise AdapterError(str(e)) from e
+    parts = [f"## Page {n}\n\n{t}" for n, t in enumerate(texts, 1) if t]
+    bare = [n for n, t in enumerate(texts, 1) if not t]
+    if bare:
+        named = ", ".join(map(str, bare[:5])) + ("…" if len(bare) > 5 else "")
+        parts.append(f"> **Note:** {len(bare)} page(s) ({named}) have no extractable text layer.")
+    yield Record(stem, "\n\n".join(parts) + "\n", {"image_only_pages": ",".join(map(str, bare))})
+
+
+#: suffixes of the fallback engine that no engine of its own takes (fixed values)
+FALLBACK = (".ipynb", ".latex", ".tex", ".rst", ".asciidoc", ".adoc", ".textile", ".mediawiki", ".wiki", ".org", ".dokuwiki", ".bbcode", ".fb2", ".mhtml", ".mht", ".web", ".openapi", ".yaml", ".yml", ".toml", ".ini", ".enex", ".xml", ".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".go", ".rs")
+
+
+def fallback(content: bytes, stem: str) -> Iterator[Record]:
+    """Notebooks by cell, MIME pages by their parts, XML by its text, everything else as it stands."""
+    text = content.decode("utf-8", "replace").replace("\r\n", "\n")
+    head = text.lstrip()[:200]
+    if head.startswith("{") and '"cells"' in text:
+        cells = json.loads(text).get("cells", [])
+        source = lambda c: "".join(c.get("source", [])) if isinstance(c.get("source"), list) else str(c.get("source", ""))
+        yield Record(stem, "\n\n".join(source(c) if c.get("cell_type") == "markdown" else f"```\n{source(c)}\n```" for c in cells).strip() + "\n")
+    elif re.match(r"(?i)(?:mime-version|from|content-type):", head):
+        yield from eml(content, stem)
+    elif head.startswith("<"):
+        try:
+            root = ElementTree.fromstring(content)
+        except ElementTree.ParseError as e:
+            raise AdapterError(f"damaged XML: {e}") from e
+        yield Record(stem, "\n\n".join(" ".join(x.split()) for x in root.itertext() if x.strip()) + "\n")
+    else:
+        yield Record(stem, f"```text\n{text.rstrip()}\n```\n")
+
+
 def unavailable(what: str) -> Callable[[bytes, str], Iterator[Record]]:
     """An engine whose library isn't part of this package: a typed failure."""
 
@@ -400,7 +438,8 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Callable[[bytes, str], Iterator[Recor
     "office": ((".docx", ".xlsx", ".pptx"), office),
     "msg": ((".msg",), unavailable("the msg reader")),
     "pst": ((".pst",), unavailable("the pst reader")),
-    "pdf": ((".pdf",), unavailable("the pdf reader")),
+    "pdf": ((".pdf",), pdf),
+    "fallback": (FALLBACK, fallback),
     "legacy": ((".doc", ".xls", ".ppt"), unavailable("the legacy office converter")),
 }
 
