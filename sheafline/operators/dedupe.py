@@ -15,7 +15,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: a prefix shingle of more classes than this is salted
 HOT = 500
-SALTS = 16
 
 
 def exact_families(docs: DataFrame, key: str, digest: Column) -> DataFrame:
@@ -54,7 +53,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = SI
     alone = F.col("n") - F.size("o")
     length = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1 - alone)
     kept = ranked.withColumn("len", length).withColumn("alone", alone).where("len > 0")
-    prefix = kept.select("class_id", "n", "alone", F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("len")))).alias("pos", "p")).select("class_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), F.col("p.h").alias("h"), F.when(F.col("p.df") > HOT, SALTS).otherwise(1).alias("salts"))
+    prefix = kept.select("class_id", "n", "alone", F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("len")))).alias("pos", "p")).select("class_id", "n", (F.col("pos") + F.col("alone")).alias("pos"), F.col("p.h").alias("h"), F.ceil(F.col("p.df") / HOT).cast("int").alias("salts"))
     a = prefix.select("h", F.pmod(F.hash("class_id"), F.col("salts")).alias("salt"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = prefix.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     # sizes must be near, and what stands behind the shared shingle must be able to make up the overlap

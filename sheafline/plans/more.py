@@ -221,6 +221,23 @@ add("a16_fallback", _read_back(".rst", lambda c: F.concat(F.lit("."), c), _FENCE
 add("a01_txt_bodies", _read_back(".txt", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".txt", "txt"))
 
 
+# ---- SQL twins of queries registered elsewhere -------------------------------------------------------------------
+
+_SUFFIX = "lower(regexp_extract(source_relpath, '(\\.[^./]+)$', 1))"
+_BY_SUFFIX = f"case when {_SUFFIX} in ('.html', '.htm') then 'html' when {_SUFFIX} = '.txt' then 'txt' when {_SUFFIX} = '.rtf' then 'rtf' when {_SUFFIX} in ('.docx', '.xlsx', '.pptx') then 'office' when {_SUFFIX} in ('.odt', '.ods', '.odp') then 'odf' when {_SUFFIX} in ('.md', '.markdown') then 'md' when {_SUFFIX} in ('.pdf', '.msg', '.pst', '.eml') then substr({_SUFFIX}, 2) end"
+registry._SQL["a17_failures"] = f"with f as (select {_BY_SUFFIX} as engine from canonical_docs where source_relpath is not null) select engine, case when engine in ('html', 'txt', 'rtf', 'md', 'eml') then 'ok' else 'failed' end as status, count(*) as n from f group by all"
+registry._SQL["a20_planned_adapters"] = f"with f as (select {_BY_SUFFIX} as engine from canonical_docs where source_relpath is not null) select case when engine in ('pdf', 'office', 'odf') then 'txt' when engine in ('msg', 'pst') then null else engine end as engine, case when engine in ('msg', 'pst') then 'failed' else 'ok' end as status, cast(case when engine in ('pdf', 'office', 'odf') then 2 else 1 end as int) as n_attempts, count(*) as n from f group by all"
+registry._SQL["w04_attachment_budget"] = "with recursive w as (select canon_id, attachments, 0 as i, 0::bigint as kept, 0::bigint as total, 0::bigint as skipped from canonical_docs where len(attachments) > 0 union all select canon_id, attachments, i + 1, kept + f, total + case when f = 1 then size else 0 end, skipped + 1 - f from (select *, attachments[i + 1].byte_size as size, case when attachments[i + 1].byte_size <= 800000 and kept < 3 and total + attachments[i + 1].byte_size <= 1500000 then 1 else 0 end as f from w where i < len(attachments))) select canon_id, kept as n_kept, skipped as n_quarantined, total as bytes_kept from w where i = len(attachments)"
+registry._SQL["k01_rendered"] = registry._SQL["c01_blocks"].split("select canon_id, case when")[0] + "select canon_id, cast(sum(length(t) + case when regexp_matches(t, '^#{1,6}\\s+[^\\n]+$') then 2 else 0 end) + 2 * (count(*) - 1) as bigint) as n_chars from k group by canon_id"
+_RISKY = "regexp_matches({0}, '^[\\s\\x0b\\-?:,\\[\\]{{}}#&*!|>''\"%@`]|: | #|[\\s\\x0b:]$|^(?i:true|false|null|yes|no|on|off|~)$|^[0-9.+-]')"
+_YAML = "case when {0} is null then 4 when {0} = '' or " + _RISKY + " then length(replace({0}, chr(39), chr(39) || chr(39))) + 2 else length({0}) end"
+_TAGS = "list_filter(string_split(lower(regexp_extract(source_relpath, '^(.*)/[^/]*$', 1)), '/'), lambda x: x <> '') || list_filter([lower(regexp_extract(source_relpath, '\\.([^./]+)$', 1))], lambda x: x <> '')"
+_FIELDS = {"type": "okf_type", "title": "title", "status": "okf_status", "generated": "okf_generated", "verified": "okf_verified", "stale_after": "okf_stale_after", "tags": "tagged", "resource": "source_uri", "sha256": "source_sha256"}
+registry._SQL["k03_concept_files"] = f"with t as (select *, {CONCEPT} as path, 'tags-' || list_reduce(list_prepend('', list_distinct_ordered), lambda a, b: case when a = '' then b else a || '-' || b end) as tagged from (select *, (select list(tag order by i) from (select tag, min(i) as i from (select unnest({_TAGS}) as tag, generate_subscripts({_TAGS}, 1) as i) group by tag)) as list_distinct_ordered from canonical_docs where source_relpath is not null)) select path, cast({' + '.join(f'{len(k) + 2} + ' + _YAML.format(c) for k, c in _FIELDS.items())} + {4 + len(_FIELDS) - 1 + 6} + length(regexp_replace(coalesce(body_md, ''), '[\\s\\x0b]+$', '')) + 1 as bigint) as n from t"
+_MASKED = "regexp_replace(text, '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{N}]|[^\\x00-\\x7F\\P{M}]', '_', 'g')"
+registry._SQL["r01_entities"] = f"with {DELIVERED}, e as (select id, unnest(list_distinct(regexp_extract_all({_MASKED}, '\\b[A-Z][a-z]+(?:{registry.SPACE}+[A-Z][a-z]+)+\\b'))) as label from delivered where text is not null) select 'entity:' || sha256('entity' || chr(0) || lower(trim(regexp_replace(label, '{registry.SPACE}+', ' ', 'g')))) as to_id, count(*) as n from e group by 1"
+
+
 def queries():
     return registry.queries()
 
