@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.functions.snippet import snippets
-from sheafline.operators import concepts, graph, incremental, quality, search
+from sheafline.operators import concepts, graph, incremental, index_store, quality, search
 from sheafline.plans import minisql
 from sheafline.session import table
 
@@ -18,8 +18,14 @@ class UnknownConcept(LookupError):
 class Engine:
     """Search, read, traverse, check and compare a bundle."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, index: str | None = None):
+        """``index``: folder of a stored search index; searches then read its postings and no texts but those of the hits."""
+        self.spark, self.sf_dir, self.index = spark, sf_dir, index
+
+    def build_index(self, folder: str) -> None:
+        """Writes the search index of all chunks below a shared folder and uses it from then on."""
+        index_store.write(self.chunks().where("concept_id is not null"), folder)
+        self.index = folder
 
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -44,7 +50,11 @@ class Engine:
         found = self.chunks()
         if bundle:
             found = found.join(self.concepts().where(F.col("bundle") == bundle).select("concept_id"), "concept_id", "left_semi")
-        hits = search.search(found, query, limit)
+        if self.index and query.strip():
+            ranked = index_store.Index(self.spark, self.index).ranked(query)
+            hits = (ranked.join(found.select("id"), "id", "left_semi") if bundle else ranked).orderBy("score", "concept_id", "ordinal").limit(limit)
+        else:
+            hits = search.search(found, query, limit)
         words = [w for w in search._plain(query) if w not in ("and", "or", "not", "near")]
         return hits.join(found.select("id", "text"), "id").select("id", "concept_id", "ordinal", "score", snippets(F.col("text"), words).alias("snippet")).orderBy("score", "concept_id", "ordinal")
 

@@ -25,3 +25,11 @@ def test_engine(spark, sf):
     assert e.sql("SELECT concept_id FROM concepts WHERE type = 'Note'").columns == ["concept_id"]
     with pytest.raises(UnknownConcept):
         e.resolve("no such concept")
+
+
+def test_search_over_a_stored_index(spark, sf, tmp_path):
+    plain, stored = Engine(spark, sf), Engine(spark, sf)
+    stored.build_index(str(tmp_path / "index"))
+    for query in ("ledger", '"the scanned"', "cabinet OR ledger", "conver* NOT ledger"):
+        rows = lambda e: [(r.id, round(r.score, 6), r.snippet) for r in e.search(query, 10).collect()]  # noqa: B023, E731
+        assert rows(plain) == rows(stored) and rows(plain)
