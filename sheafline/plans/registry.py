@@ -11,7 +11,7 @@ from sheafline.functions import cleanup, text
 from sheafline.operators import attest, claims, concepts, dedupe, graph, incremental, quality, reports, search, vectors
 from sheafline.operators.concepts import ORDER_CONCEPTS_SQL
 from sheafline.plans import minisql
-from sheafline.session import table
+from sheafline.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -88,12 +88,12 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _orders(s: SparkSession, d: str) -> DataFrame:
-    return concepts.order_concepts(table(s, d, "orders"), table(s, d, "lineitem"), table(s, d, "customer"))
+    return concepts.order_concepts(spread(table(s, d, "orders")), table(s, d, "lineitem"), table(s, d, "customer"))
 
 
 # ---- text functions ----------------------------------------------------------------------------------------------
 
-add("fn01_words", on(lambda t: t.where("text is not null").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_words"), text.token_estimate(F.col("text")).cast("bigint").alias("token_estimate"), F.sha2(text.squeeze(F.col("text")), 256).alias("squeezed_sha")), "documents"),
+add("fn01_words", on(lambda t: spread(t).where("text is not null").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n_words"), text.token_estimate(F.col("text")).cast("bigint").alias("token_estimate"), F.sha2(text.squeeze(F.col("text")), 256).alias("squeezed_sha")), "documents"),
     f"select doc_id, len({WORDS}) as n_words, greatest(1, (len({WORDS}) + 3) // 4) as token_estimate, sha256({SQUEEZED}) as squeezed_sha from documents where text is not null")
 add("fn06_description", on(lambda t: t.where("body_md is not null").select("canon_id", text.description(F.col("body_md")).alias("description")), "canonical_docs"),
     "with f as (select canon_id, list_filter(list_transform(string_split(body_md, chr(10)), lambda x: trim(x)), lambda x: x <> '' and not regexp_matches(x, '^(#|```|>)'))[1] as d from canonical_docs where body_md is not null) select canon_id, case when length(d) > 120 then substr(d, 1, 117) || '...' else d end as description from f")
@@ -112,7 +112,7 @@ add("fn27_glob", on(lambda t: t.where(F.regexp_extract("source_relpath", "([^/]+
 
 
 def _stage(name: str) -> Query:
-    return on(lambda t: t.where("body_md is not null").select("canon_id", F.sha2(cleanup.STAGES[name](F.col("body_md")), 256).alias("sha")), "canonical_docs")
+    return on(lambda t: spread(t).where("body_md is not null").select("canon_id", F.sha2(cleanup.STAGES[name](F.col("body_md")), 256).alias("sha")), "canonical_docs")
 
 
 def _nested(table_: dict[str, str], inner: str) -> str:
@@ -136,13 +136,13 @@ for _no, _name, _expr in (
     ("12", "headings", None),
 ):
     add(f"t{_no}_{_name}", _stage(_name), f"select canon_id, sha256({_expr}) as sha from canonical_docs where body_md is not null" if _expr else None)
-add("t_clean_all", on(lambda t: t.where("body_md is not null").select("canon_id", F.sha2(cleanup.clean(F.col("body_md")), 256).alias("sha")), "canonical_docs"))
+add("t_clean_all", on(lambda t: spread(t).where("body_md is not null").select("canon_id", F.sha2(cleanup.clean(F.col("body_md")), 256).alias("sha")), "canonical_docs"))
 
 # ---- blocks and chunks -------------------------------------------------------------------------------------------
 
-add("c01_blocks", on(lambda t: concepts.blocks(t.where("body_md is not null"), "body_md", "canon_id").groupBy("canon_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "canonical_docs"),
+add("c01_blocks", on(lambda t: concepts.blocks(spread(t).where("body_md is not null"), "body_md", "canon_id").groupBy("canon_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")), "canonical_docs"),
     "with b as (select canon_id, unnest(list_filter(string_split_regex(regexp_replace(body_md, '^\\s+|\\s+$', '', 'g'), '\\n\\s*\\n'), lambda x: not regexp_matches(x, '^\\s*$'))) as raw from canonical_docs where body_md is not null), k as (select canon_id, raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') as t from b) select canon_id, case when regexp_matches(t, '^#{1,6}\\s+[^\\n]+$') then 'heading' when ltrim(raw) like '|%' then 'table' else 'paragraph' end as kind, count(*) as n, cast(sum(length(t)) as bigint) as chars from k group by all")
-add("c02_chunk_pack", on(lambda t: concepts.chunks_of(t.where("body_md is not null"), "body_md", "canon_id").select("canon_id", "ordinal", "heading", "token_estimate", "oversize", "chunk_id"), "canonical_docs"))
+add("c02_chunk_pack", on(lambda t: concepts.chunks_of(spread(t).where("body_md is not null"), "body_md", "canon_id").select("canon_id", "ordinal", "heading", "token_estimate", "oversize", "chunk_id"), "canonical_docs"))
 add("c04_citation", on(concepts.citations, "chunks"),
     f"with {DELIVERED} select source_sha256, min(citation.page) as first_page, min(citation.start_char) as start_char, max(citation.end_char) as end_char, count(*) as n_chunks from delivered group by source_sha256")
 add("c05_missing_citation", on(lambda c: c.where("citation is null or citation.source_sha256 is null or citation.source_uri is null").select("id"), "chunks"), "select id from chunks where citation is null or citation.source_sha256 is null or citation.source_uri is null")
@@ -531,7 +531,7 @@ add("fn29_confidence", on(lambda r: r.select("result_id", benchmark.confidence(F
     "select distinct result_id, round(case when status = 'ok' then 0.4 else 0 end + case when engine is not null then 0.3 else 0 end - case when engine is not null and len(list_filter(diagnostics, lambda x: x.code = 'OCR_LOW')) > 0 then 0.1 else 0 end + case when coalesce(confidence > 0.5, false) then 0.2 else 0 end + case when len(diagnostics) = 0 then 0.1 else 0 end::double, 6)::double as score from run_results")
 add("s11_bundles", lambda s, d: table(s, d, "bundle_registry").join(table(s, d, "canonical_docs").groupBy(F.col("bundle").alias("slug")).agg(F.count("*").alias("n_docs")), "slug", "left").select("slug", "bundle_path", F.coalesce("n_docs", F.lit(0)).alias("n_docs")),
     "select slug, bundle_path, count(canon_id) as n_docs from bundle_registry left join canonical_docs on bundle = slug group by all")
-add("k01_rendered", on(lambda t: t.where("body_md is not null").select("canon_id", F.length(emit.rendered(concepts.block_array(F.col("body_md")))).alias("n_chars")).where("n_chars > 0"), "canonical_docs"))
+add("k01_rendered", on(lambda t: spread(t).where("body_md is not null").select("canon_id", F.length(emit.rendered(concepts.block_array(F.col("body_md")))).alias("n_chars")).where("n_chars > 0"), "canonical_docs"))
 add("h05_provenance", on(lambda t: t.where(F.col("source_sha256").rlike(text.SHA256) & F.col("source_uri").isNotNull()).groupBy("source_sha256").agg(F.min("source_uri").alias("source_uri"), F.countDistinct("source_uri").alias("n_uris")), "canonical_docs"),
     "select source_sha256, min(source_uri) as source_uri, count(distinct source_uri) as n_uris from canonical_docs where regexp_full_match(source_sha256, '[0-9a-f]{64}') and source_uri is not null group by 1")
 add("u02_lost_chunks", lambda s, d: _chunks(s, d).select("source_sha256").distinct().exceptAll(table(s, d, "canonical_docs").select("source_sha256").distinct()), "select distinct source_sha256 from chunks where source_sha256 is not null except select source_sha256 from canonical_docs")
