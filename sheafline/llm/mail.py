@@ -58,6 +58,9 @@ _DATE = re.compile(r"\d{1,4}[./-](?:\d{1,2}|[^\W\d_]{3,9})[./-]\d{2,4}|\d{1,2}\.
 _RULE = re.compile(r"(?:[-—_=~]{2,}|\*{3,}|\* \* \*|(?:- ){2,}-)$")
 #: the quotation mark » under wrong decodings
 _GARBLED = sorted({"»".encode().decode(c) for c in ("cp1252", "cp437", "cp1251", "cp1250", "mac_roman")} | {"»".encode("cp1252").decode("cp437"), "Ã‚Â»", "�(?= |$)"})
+#: the same mark, one character read in another byte set: a mark only where several lines of a mail begin with it
+_SWAPPED = sorted({"»".encode("utf-8").decode("gb18030")} | {"»".encode(a).decode(b) for a in ("cp1252", "mac_roman", "cp850", "cp437") for b in ("cp1252", "mac_roman", "cp850", "cp437") if a != b} - {"»"})
+SWAPPED_LINES = 3
 _MARK = "(?:[>»|]|" + "|".join(_GARBLED) + ")"
 _QUOTE = re.compile(rf" {{0,3}}(?:{_MARK}(?: ?{_MARK})*|[A-ZÀ-ÖØ-ÞĀ-ŽА-Я]{{1,2}}>(?: ?>)*)")
 _MARKS = re.compile(_MARK)
@@ -119,6 +122,10 @@ def _text_range(t: list[str], fmt: str) -> tuple[int, int] | None:
 def messages(body: str, fmt: str) -> tuple[dict, list[tuple]] | None:
     """A mail's header fields, and (line_no, raw, collapsed text, depth, date, author) of its lines; depth 0 is the mail's own message."""
     rows = body.split("\n")
+    if not body.isascii():
+        for ch in _SWAPPED:
+            if ch in body and sum(r.startswith(ch + " ") or r.rstrip("\r") == ch for r in rows) >= SWAPPED_LINES:
+                rows = ["»" + r[len(ch) :] if r.startswith(ch + " ") or r.rstrip("\r") == ch else r for r in rows]
     t = [" ".join(x.replace("​", " ").split()) for x in rows]
     span = _text_range(t, fmt)
     if span is None:
@@ -142,7 +149,7 @@ def messages(body: str, fmt: str) -> tuple[dict, list[tuple]] | None:
     depth, rest = [0] * n, list(t)
     for k in full:
         m = _QUOTE.match(raw[k])
-        if m and not (t[k].startswith("|") and t[k].endswith("|") and t[k].count("|") > 2 and not (k and re.match(r" {0,3}\|(?!.*\|\s*$)", raw[k - 1]))):
+        if m and not (t[k].startswith("|") and t[k].endswith("|") and t[k].count("|") > 2 and not (k and (re.match(r" {0,3}\|(?!.*\|\s*$)", raw[k - 1]) or depth[k - 1] and t[k].startswith("| |")))):
             depth[k] = max(1, len(_MARKS.findall(m.group())))
             rest[k] = " ".join(raw[k][m.end() :].split())
     marked = [d > 0 for d in depth]
