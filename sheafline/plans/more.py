@@ -205,16 +205,16 @@ def _pdf_of(body: Column) -> Column:
     return F.concat(F.lit(head), shows, F.lit("\nET\nendstream endobj\ntrailer <</Root 1 0 R>>\n%%EOF\n"))
 
 
-def _read_back(suffix: str, make, what: Column):
+def _read_back(suffix: str, make, what):
     def run(s: SparkSession, d: str) -> DataFrame:
         docs = table(s, d, "canonical_docs").where("body_md is not null").select(F.concat(F.lit("in/"), F.col("canon_id").cast("string"), F.lit(suffix)).alias("relpath"), F.encode(make(F.col("body_md")), "UTF-8").alias("content"))
-        return adapters.extract(docs).select("relpath", "engine", "status", what.alias("letters"))
+        return adapters.extract(docs).select("relpath", "engine", "status", what().alias("letters"))
 
     return run
 
 
-_LETTERS = F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^## Page 1\n\n|\n\n> \\*\\*Note:\\*\\* [^\n]*\n$|^> \\*\\*Note[^\n]*\n$", ""), "[^A-Za-z0-9]", ""), 256)
-_FENCED = F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^```text\n|\n```\n$", ""), "[^A-Za-z0-9]", ""), 256)
+_LETTERS = lambda: F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^## Page 1\n\n|\n\n> \\*\\*Note:\\*\\* [^\n]*\n$|^> \\*\\*Note[^\n]*\n$", ""), "[^A-Za-z0-9]", ""), 256)
+_FENCED = lambda: F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^```text\n|\n```\n$", ""), "[^A-Za-z0-9]", ""), 256)
 _SAME = "select 'in/' || canon_id || '{0}' as relpath, '{1}' as engine, 'ok' as status, sha256(regexp_replace(body_md, '[^A-Za-z0-9]', '', 'g')) as letters from canonical_docs where body_md is not null"
 add("a13_pdf", _read_back(".pdf", _pdf_of, _LETTERS), _SAME.format(".pdf", "pdf"))
 add("a16_fallback", _read_back(".rst", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".rst", "fallback"))
