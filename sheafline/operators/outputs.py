@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.operators.emit import frontmatter
+from sheafline.session import cut
 
 TTL_DAYS = 180
 
@@ -93,3 +94,53 @@ def refreshed(before: DataFrame, after: DataFrame, key: str, digest: str) -> Dat
     j = a.withColumn("was", F.lit(True)).join(b.withColumn("now", F.lit(True)), key, "full_outer")
     was, now = F.coalesce("was", F.lit(False)), F.coalesce("now", F.lit(False))
     return j.agg(F.count_if(was).alias("n_before"), F.count_if(now).alias("n_after"), F.count_if(~was & now).alias("n_added"), F.count_if(was & ~now).alias("n_removed"), F.count_if(was & now & ~F.col("old").eqNullSafe(F.col("new"))).alias("n_changed"))
+
+
+def walk_manifest(files: DataFrame, engines: DataFrame) -> DataFrame:
+    """relpath, engine, supported: every file with the engine of its suffix (the least priority number, then the name).
+
+    ``engines``: engine, extensions, priority, as many rows as there are engines.
+    """
+    per = engines.select("engine", "priority", F.explode("extensions").alias("ext")).groupBy("ext").agg(F.min(F.struct("priority", "engine")).alias("e"))
+    ext = F.lower(F.regexp_extract("relpath", "(\\.[^./]+)$", 1))
+    return files.select("relpath", ext.alias("ext")).join(F.broadcast(per), "ext", "left").select("relpath", F.col("e.engine").alias("engine"), F.col("e").isNotNull().alias("supported"))
+
+
+def index_pages(concepts: DataFrame, key: str = "concept_id") -> DataFrame:
+    """dir, page: the Markdown index of each directory, a line a concept by name, with its title and words."""
+    name = F.regexp_extract(key, "([^/]+)$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(key, "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    words = F.size(F.filter(F.split(F.coalesce("body_md", F.lit("")), " "), lambda w: w != ""))
+    rows = concepts.select(folder.alias("dir"), F.struct(name.alias("name"), F.concat(F.lit("- ["), name, F.lit("]("), name, F.lit(") — "), F.coalesce("title", F.lit("(untitled)")), F.lit(" ("), words.cast("string"), F.lit(" words)")).alias("line")).alias("r"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n")  # the concepts of one directory
+    return rows.groupBy("dir").agg(F.concat(F.lit("# Index\n\n"), lines, F.lit("\n")).alias("page"))
+
+
+def numbered_within(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds n, the row's number within its group (from 1): a range partitioning and offsets, so a group of any size is many tasks."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = cut(df.repartitionByRange(parts, group, order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy(group, "part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most `parts` rows a group
+    own = F.row_number().over(Window.partitionBy(group, "part").orderBy(order))
+    return ranged.withColumn("own", own).join(before.select(group, "part", "before"), [group, "part"]).withColumn("n", F.col("before") + F.col("own")).drop("part", "own", "before")
+
+
+def message_paths(docs: DataFrame, source: str = "source_sha256", key: str = "canon_id") -> DataFrame:
+    """key, path: ``<stem>-0001.md`` and so on for the messages of one mailbox file, in key order."""
+    rows = docs.where(F.col(source).isNotNull() & F.col("source_relpath").isNotNull()).select(key, source, "source_relpath")
+    stem = F.regexp_replace(F.regexp_replace("source_relpath", "\\.[^./]+$", ""), "-\\d{4}$", "")
+    return numbered_within(rows, source, key).select(key, F.format_string("%s-%04d.md", stem, "n").alias("path"))
+
+
+def progress_events(runs: DataFrame) -> DataFrame:
+    """run_no, event, relpath, status: a start and a finish a run and a row a file between them."""
+    ends = runs.select("run_no").distinct().select("run_no", F.explode(F.array(F.lit("start"), F.lit("finish"))).alias("event"), F.lit(None).cast("string").alias("relpath"), F.lit(None).cast("string").alias("status"))
+    return ends.unionByName(runs.select("run_no", F.lit("file").alias("event"), "relpath", "status"))
+
+
+def catalog_nodes(concepts: DataFrame, longest: int = 8000) -> DataFrame:
+    """id, type, title, group, size, status, body: what a viewer shows of a concept; the group is the first folder."""
+    group = F.when(F.col("concept_id").contains("/"), F.substring_index("concept_id", "/", 1)).otherwise("(root)")
+    size = F.greatest(F.lit(24), F.least(F.lit(70), 24 + F.floor(F.length(F.coalesce("body_md", F.lit(""))) / 200)))
+    return concepts.select(F.col("concept_id").alias("id"), F.coalesce("okf_type", F.lit("Unknown")).alias("type"), F.coalesce("title", F.col("concept_id")).alias("title"), group.alias("group"), size.cast("bigint").alias("size"), "okf_status", F.substring(F.coalesce("body_md", F.lit("")), 1, longest).alias("body"))

@@ -150,3 +150,12 @@ def without_secrets(text: Column) -> Column:
 def trust_badge(verified: Column, status: Column, stale_after: Column, today: str) -> Column:
     base = F.when(verified.startswith("human:") & (verified != "human:pending"), "human-reviewed").when(verified.startswith("process:"), "machine-confirmed").otherwise("unverified")
     return F.when(status == "deprecated", "deprecated").when(stale_after <= today, "stale").otherwise(base)
+
+
+def lint_all(docs: DataFrame, path: str = "source_relpath") -> DataFrame:
+    """canon_id, severity, rule: concept rules below an ``okf`` folder, Markdown rules below ``_md``, both elsewhere."""
+    parts = F.split(F.coalesce(F.col(path), F.lit("")), "/")
+    only_concept, only_markdown = F.array_contains(parts, "okf"), F.array_contains(parts, "_md")
+    concept = concept_lint(docs.where(~only_markdown | only_concept))
+    markdown = markdown_lint(docs.where(~only_concept & F.col("body_md").isNotNull())).select("canon_id", F.lit("warning").alias("severity"), "rule")
+    return concept.unionByName(markdown)

@@ -31,3 +31,14 @@ def evidence_packet(docs: DataFrame, chunks: DataFrame, per_document: int = 5) -
     w = Window.partitionBy("source_sha256").orderBy("ordinal", "id")
     first = chunks.where("source_sha256 is not null").select("id", "source_sha256", "ordinal", "text", F.col("citation.page").alias("page")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_document)
     return pending.join(first, "source_sha256").select("canon_id", "id", "page", "text")
+
+
+def decide(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """canon_id, before, after, reviewer, action of each pending document decided on; the first decision by time counts.
+
+    ``decisions``: canon_id, action (approve or reject), reviewer, at. Documents that are not pending are left alone.
+    """
+    first = decisions.where(F.col("action").isin("approve", "reject")).groupBy("canon_id").agg(F.min(F.struct("at", "reviewer", "action")).alias("d"))
+    pending = docs.where("okf_verified = 'human:pending'").select("canon_id", F.col("okf_verified").alias("before"))
+    after = F.when(F.col("d.action") == "approve", F.concat(F.lit("human:"), "d.reviewer")).otherwise("human:rejected")
+    return pending.join(first, "canon_id").select("canon_id", "before", after.alias("after"), F.col("d.reviewer").alias("reviewer"), F.col("d.action").alias("action"))

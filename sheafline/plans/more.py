@@ -221,6 +221,53 @@ add("a16_fallback", _read_back(".rst", lambda c: F.concat(F.lit("."), c), _FENCE
 add("a01_txt_bodies", _read_back(".txt", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".txt", "txt"))
 
 
+# ---- walks, indexes, reviews, the lint driver ----------------------------------------------------------------------
+
+_ENGINE_ROWS = ", ".join(f"('{e}', {x}, {p})" for e, x, p in registry.ENGINES)
+
+
+def _walk(s: SparkSession, d: str) -> DataFrame:
+    engines = s.createDataFrame(registry.ENGINES, "engine string, extensions array<string>, priority int")
+    return outputs.walk_manifest(table(s, d, "canonical_docs").where("source_relpath is not null").select(F.col("source_relpath").alias("relpath")).distinct(), engines)
+
+
+def _concepts(s: SparkSession, d: str) -> DataFrame:
+    return registry.concepts.canonical_concepts(table(s, d, "canonical_docs"))
+
+
+add("s03_walk_manifest", _walk,
+    f"with c as (select engine, unnest(extensions) as ext, priority from (values {_ENGINE_ROWS}) t(engine, extensions, priority)), b as (select ext, arg_min(engine, (priority, engine)) as engine from c group by ext), f as (select distinct source_relpath as relpath, lower(regexp_extract(source_relpath, '(\\.[^./]+)$', 1)) as ext from canonical_docs where source_relpath is not null) select relpath, engine, engine is not null as supported from f left join b using (ext)")
+_NAME = "regexp_extract(concept_id, '([^/]+)$', 1)"
+add("k06_index_pages", lambda s, d: outputs.index_pages(_concepts(s, d)).select("dir", F.sha2("page", 256).alias("sha"), F.length("page").cast("bigint").alias("n")),
+    f"with {registry.LATEST}, r as (select coalesce(nullif(regexp_extract(concept_id, '^(.*)/[^/]*$', 1), ''), '.') as dir, {_NAME} as name, '- [' || {_NAME} || '](' || {_NAME} || ') — ' || coalesce(title, '(untitled)') || ' (' || len(list_filter(string_split(coalesce(body_md, ''), ' '), lambda w: w <> '')) || ' words)' as line from latest), p as (select dir, '# Index' || chr(10) || chr(10) || string_agg(line, chr(10) order by name, line) || chr(10) as page from r group by dir) select dir, sha256(page) as sha, length(page) as n from p")
+add("fn09_message_paths", on(lambda t: outputs.message_paths(t.where("source_format = '.pst'")), "canonical_docs"),
+    "select canon_id, regexp_replace(regexp_replace(source_relpath, '\\.[^./]+$', ''), '-[0-9]{4}$', '') || '-' || lpad(cast(n as varchar), cast(greatest(4, length(cast(n as varchar))) as int), '0') || '.md' as path from (select *, row_number() over (partition by source_sha256 order by canon_id) as n from canonical_docs where source_format = '.pst' and source_sha256 is not null and source_relpath is not null)")
+add("k13_progress", lambda s, d: outputs.progress_events(distinct_runs(table(s, d, "run_results"))).groupBy("run_no", "event").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok")),
+    f"with {RUNS}, e as (select distinct run_no, unnest(['start', 'finish']) as event, null as status from runs union all select run_no, 'file', status from runs) select run_no, event, count(*) as n, count(*) filter (where status = 'ok') as n_ok from e group by all")
+add("d11_catalog_nodes", lambda s, d: outputs.catalog_nodes(_concepts(s, d)).withColumn("body", F.sha2("body", 256)),
+    f"with {registry.LATEST} select concept_id as id, coalesce(okf_type, 'Unknown') as type, coalesce(title, concept_id) as title, case when contains(concept_id, '/') then split_part(concept_id, '/', 1) else '(root)' end as \"group\", greatest(24, least(70, 24 + length(coalesce(body_md, '')) // 200)) as size, okf_status, sha256(substr(coalesce(body_md, ''), 1, 8000)) as body from latest")
+add("d11_catalog_links", lambda s, d: registry._doc_links(s, d).select("source", "target", F.when(F.col("exists"), "link").otherwise("unresolved").alias("kind")),
+    f"with {registry._LINKS_SQL} select source, target, case when target in (select concept_id from latest) then 'link' else 'unresolved' end as kind from q where source <> target")
+add("y07_dry_run", lambda s, d: registry.incremental.reconcile(table(s, d, "sync_records"), registry.incremental.current_files(table(s, d, "canonical_docs"))).groupBy("action").agg(F.count("*").alias("n")),
+    f"with r as ({registry._SQL['y06_reconcile']}) select action, count(*) as n from r group by action")
+
+
+def _decided(s: SparkSession, d: str) -> DataFrame:
+    """Decisions from the event log: a purchase approves, an error rejects the document of the user's number."""
+    action = F.when(F.col("event_type") == "purchase", "approve").when(F.col("event_type") == "error", "reject").otherwise("look")
+    events = table(s, d, "events").select(F.col("user_id").cast("bigint").alias("canon_id"), action.alias("action"), F.concat(F.lit("r"), (F.col("event_id") % 7).cast("string")).alias("reviewer"), F.col("event_id").alias("at"))
+    return registry.review.decide(table(s, d, "canonical_docs"), events)
+
+
+add("q14_decided", _decided,
+    "with e as (select user_id as canon_id, arg_min(event_type, event_id) as t, 'r' || (min(event_id) % 7) as reviewer from events where event_type in ('purchase', 'error') group by user_id) select canon_id, okf_verified as before, case when t = 'purchase' then 'human:' || reviewer else 'human:rejected' end as after, reviewer, case when t = 'purchase' then 'approve' else 'reject' end as action from canonical_docs join e using (canon_id) where okf_verified = 'human:pending'")
+_MD = registry._SQL["q02_markdown_lint"]
+add("q03_lint_driver", on(lambda t: registry.quality.lint_all(t).groupBy("severity", "rule").agg(F.count("*").alias("n")), "canonical_docs"),
+    f"with {registry._LINT_SQL}, m as ({_MD}), p as (select canon_id, list_contains(string_split(coalesce(source_relpath, ''), '/'), 'okf') as c, list_contains(string_split(coalesce(source_relpath, ''), '/'), '_md') as k from canonical_docs), u as (select severity, rule from lint join p using (canon_id) where not k or c union all select 'warning', rule from m join p using (canon_id) where not c) select severity, rule, count(*) as n from u group by all")
+_HEADING_LINES = "list_filter(string_split(body_md, chr(10)), lambda x: regexp_matches(x, '^#{1,6}[ \\t]+'))"
+add("fn30_headings", on(lambda t: t.where("body_md is not null").select("canon_id", F.array_join(F.transform(F.filter(F.split("body_md", "\n"), lambda x: x.rlike("^#{1,6}[ \\t]+")), lambda x: F.regexp_replace(x, "^#{1,6}[ \\t]+", "")), " / ").alias("headings")), "canonical_docs"),
+    f"select canon_id, array_to_string(list_transform({_HEADING_LINES}, lambda x: regexp_replace(x, '^#{{1,6}}[ \\t]+', '')), ' / ') as headings from canonical_docs where body_md is not null")
+
 # ---- SQL twins of queries registered elsewhere -------------------------------------------------------------------
 
 _SUFFIX = "lower(regexp_extract(source_relpath, '(\\.[^./]+)$', 1))"

@@ -99,6 +99,29 @@ def test_outputs(spark, tmp_path):
     assert [x[0] for x in both.select(outputs.rendered_same(F.col("l"), F.col("r"))).collect()] == [True, False]
 
 
+def test_numbers_within_a_hot_group(spark):
+    rows = [(i, "hot" if i % 3 else f"g{i % 5}", f"box/mail-{i:04d}.pst") for i in range(900, 0, -1)]
+    df = spark.createDataFrame(rows, "canon_id long, source_sha256 string, source_relpath string")
+    got = {r.canon_id: r.n for r in outputs.numbered_within(df, "source_sha256", "canon_id").collect()}
+    for g in {x[1] for x in rows}:
+        ids = sorted(i for i, s, _ in rows if s == g)
+        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
+    assert outputs.message_paths(df).where("canon_id = 1").first().path == "box/mail-0001.md"
+    assert outputs.message_paths(df.limit(0)).count() == 0
+
+
+def test_decisions_and_lint_families(spark):
+    from sheafline.operators import quality, review
+
+    docs = spark.createDataFrame([(1, "human:pending"), (2, "human:pending"), (3, "human:x"), (4, None)], "canon_id long, okf_verified string")
+    said = spark.createDataFrame([(1, "reject", "b", 5), (1, "approve", "a", 2), (1, "look", "z", 1), (2, "look", "a", 1), (3, "approve", "a", 1), (None, "approve", "a", 1)], "canon_id long, action string, reviewer string, at long")
+    assert [tuple(r) for r in review.decide(docs, said).collect()] == [(1, "human:pending", "human:a", "a", "approve")]
+    long = "x" * 300
+    rows = [(i, p, long, None, "u", "0" * 64, "s", "v") for i, p in enumerate(["okf/a.md", "b/_md/a.md", "c.md", None])]
+    linted = quality.lint_all(spark.createDataFrame(rows, "canon_id long, source_relpath string, body_md string, okf_type string, source_uri string, source_sha256 string, okf_status string, okf_verified string"))
+    assert {(r.canon_id, r.rule) for r in linted.collect()} == {(0, "type-required"), (1, "line-length"), (2, "type-required"), (2, "line-length"), (3, "type-required"), (3, "line-length")}
+
+
 def test_providers_and_refresh(spark):
     p = vectors.Providers()
     p.register("hashed", "words", 8, "1", lambda c: vectors.hashed_embedding(c, 8))
