@@ -284,6 +284,18 @@ registry._SQL["k03_concept_files"] = f"with t as (select *, {CONCEPT} as path, '
 _MASKED = "regexp_replace(text, '[^\\x00-\\x7F\\P{L}]|[^\\x00-\\x7F\\P{N}]|[^\\x00-\\x7F\\P{M}]', '_', 'g')"
 registry._SQL["r01_entities"] = f"with {DELIVERED}, e as (select id, unnest(list_distinct(regexp_extract_all({_MASKED}, '\\b[A-Z][a-z]+(?:{registry.SPACE}+[A-Z][a-z]+)+\\b'))) as label from delivered where text is not null) select 'entity:' || sha256('entity' || chr(0) || lower(trim(regexp_replace(label, '{registry.SPACE}+', ' ', 'g')))) as to_id, count(*) as n from e group by 1"
 
+_SP = registry.SPACE
+_SP2 = _SP.replace("{", "{{").replace("}", "}}")
+_STRIP = f"regexp_replace(regexp_replace({{0}}, '^{_SP2}+', ''), '{_SP2}+$', '')"
+_WRAPPED = f"(not regexp_full_match({{0}}, '{_SP2}*') and not regexp_matches({{0}}, '^{_SP2}*(?:#{{{{1,6}}}}{_SP2}|>{_SP2}|[-*+]{_SP2}|\\p{{{{Nd}}}}+\\.{_SP2}|\\||```)'))"
+registry._SQL["t07_wraps"] = f"with d as (select canon_id, string_split(body_md, chr(10)) as ls from canonical_docs where body_md is not null) select canon_id, sha256(array_to_string(list_transform(ls, lambda x, i: case when {_WRAPPED.format('x')} and i > 1 and {_WRAPPED.format('ls[i - 1]')} then ' ' || {_STRIP.format('x')} else case when i = 1 then '' else chr(10) end || case when {_WRAPPED.format('x')} then regexp_replace(x, '{_SP}+$', '') else x end end), '')) as sha from d"
+registry._SQL["t12_headings"] = f"with l as (select canon_id, unnest(string_split(body_md, chr(10))) as x, generate_subscripts(string_split(body_md, chr(10)), 1) as i from canonical_docs where body_md is not null), f as (select *, sum(case when starts_with(x, '```') then 1 else 0 end) over (partition by canon_id order by i) as fences from l), h as (select *, length(regexp_extract(x, '^(#{{1,6}}){_SP}', 1)) as len, row_number() over (partition by canon_id order by i) as n from f where fences % 2 = 0 and regexp_matches(x, '^#{{1,6}}{_SP}')), a as (select canon_id, i, len, min(case when n = 1 then 0 else len - n end) over (partition by canon_id order by n) + n as lvl from h), o as (select l.canon_id, l.i, case when lvl is null then x else repeat('#', cast(lvl as bigint)) || substr(x, len + 1) end as x from l left join a on a.canon_id = l.canon_id and a.i = l.i) select canon_id, sha256(string_agg(x, chr(10) order by i)) as sha from o group by canon_id"
+registry._SQL["t09_contents"] = f"with d as (select canon_id, body_md, string_split(body_md, chr(10)) as ls from canonical_docs where body_md is not null), n as (select *, list_filter(range(1, len(ls) + 1), lambda i: not regexp_full_match(ls[i], '{_SP}*')) as nb from d), t as (select *, list_transform(nb, lambda i: {_STRIP.format('ls[i]')}) as s from n), p as (select *, nb[1:4] as opening, list_filter(s[1:4], lambda x: not starts_with(x, '#')) as plain, s[5:] as later from t), q as (select *, len(plain) >= 2 and len(opening) >= 2 and len(list_filter(range(1, len(later) - len(plain) + 2), lambda i: later[i:i + len(plain) - 1] = plain)) > 0 as gone from p) select canon_id, sha256(case when gone then array_to_string(list_filter(ls, lambda x, i: not list_contains(opening, i)), chr(10)) else body_md end) as sha from q"
+
+_LEVELS = registry._SQL["h02_merkle_root"].rpartition(" select (select count(*)")[0]
+registry._SQL["h03_proofs"] = _LEVELS + ", own as (select path, row_number() over (order by path, leaf) - 1 as idx from leaves), k as (select distinct lvl from lv where n > 1) select path, cast(k.lvl as int) as step, node as sibling, case when lv.idx % 2 = 1 then 'right' else 'left' end as side from own cross join k join lv on lv.lvl = k.lvl and lv.idx = xor(own.idx >> k.lvl, 1)"
+registry._SQL["d02_near_duplicates"] = f"with r as (select doc_id, sha256(trim(regexp_replace(lower(text), '{_SP}+', ' ', 'g'))) as class_id, lower(text) as t from documents where text is not null), c as (select class_id, count(*) as n_copies, min(t) as t from r group by 1), w as (select class_id, n_copies, list_filter(string_split_regex(t, '{_SP}+'), lambda x: x <> '') as ws from c), s as (select class_id, unnest(list_distinct(list_transform(range(1, greatest(1, len(ws) - 4) + 1), lambda i: array_to_string(ws[i:i + 4], ' ')))) as h from w where len(ws) > 0), n as (select class_id, count(*) as n from s group by 1), i as (select a.class_id as a, b.class_id as b, count(*) as k from s a join s b on a.h = b.h and a.class_id < b.class_id group by all), l as (select a, b from i join n x on x.class_id = a join n y on y.class_id = b where k / (x.n + y.n - k)::double >= 0.8 - 1e-12), e as (select class_id, count(*) as n_links from (select a as class_id from l union all select b from l) group by 1) select doc_id, class_id, n_copies, coalesce(n_links, 0) as n_links from r join w using (class_id) left join e using (class_id) where len(ws) > 0"
+
 
 def queries():
     return registry.queries()
