@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -25,27 +26,34 @@ def typed_blocks(body: str) -> list[tuple[str, str]]:
 
 
 def element_changes(left: str, right: str) -> list[tuple[str, str, str | None, str | None]]:
-    """(status, kind, before, after): equal texts first, the rest greedily by similarity within a kind."""
-    a, b = list(enumerate(typed_blocks(left))), list(enumerate(typed_blocks(right)))
+    """(status, kind, before, after): equal texts first, each with the first of its kind still free, the rest by likeness."""
+    a, b = typed_blocks(left), typed_blocks(right)
+    where: dict[tuple[str, str], deque[int]] = {}
+    for j, block in enumerate(b):
+        where.setdefault(block, deque()).append(j)
+    free = dict.fromkeys(range(len(b)))  # in order
     out: list[tuple[str, str, str | None, str | None]] = []
-    free = list(b)
     rest = []
-    for i, (kind, text) in a:
-        hit = next((x for x in free if x[1] == (kind, text)), None)
-        if hit:
-            free.remove(hit)
-            out.append(("unchanged" if hit[0] == i else "moved", kind, text, text))
+    for i, (kind, text) in enumerate(a):
+        places = where.get((kind, text))
+        if places:
+            j = places.popleft()
+            del free[j]
+            out.append(("unchanged" if j == i else "moved", kind, text, text))
         else:
             rest.append((kind, text))
+    by_kind: dict[str, dict[int, None]] = {}
+    for j in free:
+        by_kind.setdefault(b[j][0], {})[j] = None
     for kind, text in rest:
-        same = [x for x in free if x[1][0] == kind]
+        same = by_kind.get(kind)
         if same:
-            best = max(same, key=lambda x: SequenceMatcher(None, text, x[1][1], autojunk=False).ratio())
-            free.remove(best)
-            out.append(("modified", kind, text, best[1][1]))
+            j = max(same, key=lambda j: SequenceMatcher(None, text, b[j][1], autojunk=False).ratio())
+            del same[j], free[j]
+            out.append(("modified", kind, text, b[j][1]))
         else:
             out.append(("removed", kind, text, None))
-    out += [("added", kind, None, text) for _, (kind, text) in free]
+    out += [("added", b[j][0], None, b[j][1]) for j in free]
     return sorted(out, key=lambda x: (x[0], x[1], x[2] or x[3] or ""))
 
 

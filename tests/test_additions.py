@@ -202,3 +202,14 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     context = S(_jsc=S(sc=lambda: S(getCheckpointDir=lambda: none)), master="spark://host:7077", setCheckpointDir=lambda x: None)
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(S(sparkContext=context, conf=S(get=lambda k, d: None)))
+
+
+def test_element_changes_of_long_documents_take_no_square_of_time():
+    import time
+
+    body = "\n\n".join(f"Paragraph {i % 50}" for i in range(20_000))
+    start = time.process_time()
+    got = diff.element_changes(body, "New\n\n" + body + "\n\n# Head")
+    assert time.process_time() - start < 5
+    assert [x[0] for x in got].count("moved") == 20_000 and ("added", "paragraph", None, "New") in got and ("added", "heading", None, "# Head") in got
+    assert diff.element_changes("a\n\nb", "b\n\nc") == [("modified", "paragraph", "a", "c"), ("moved", "paragraph", "b", "b")]
