@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.session import cut
+
 
 class AdapterError(Exception):
     """The file can't be converted by this adapter."""
@@ -603,8 +605,10 @@ def expand_archives(files: DataFrame, max_depth: int = 2, max_members: int = 100
     schema = "relpath string, depth int, content binary, reason string"
     level = files.where(F.lower("relpath").endswith(".zip")).select("relpath", F.lit(0).alias("depth"), "content")
     out = None
-    for _ in range(max_depth + 1):
+    for depth in range(max_depth + 1):
         got = level.mapInPandas(members, schema)
+        if depth < max_depth:
+            got = cut(got)  # read by the output and by the next level: archives are opened once
         out = got if out is None else out.unionByName(got)
         level = got.where("reason is null").where(F.lower("relpath").endswith(".zip")).select("relpath", "depth", "content")
     return out
