@@ -218,6 +218,11 @@ _FENCED = lambda: F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^```t
 _SAME = "select 'in/' || canon_id || '{0}' as relpath, '{1}' as engine, 'ok' as status, sha256(regexp_replace(body_md, '[^A-Za-z0-9]', '', 'g')) as letters from canonical_docs where body_md is not null"
 add("a13_pdf", _read_back(".pdf", _pdf_of, _LETTERS), _SAME.format(".pdf", "pdf"))
 add("a16_fallback", _read_back(".rst", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".rst", "fallback"))
+_MAILED = lambda: F.sha2(F.regexp_replace(F.regexp_replace("body_md", "(?s)^.*?\\n## Body\\n+```text\\n|\\n```\\n$", ""), "[^A-Za-z0-9]", ""), 256)
+_ALL = lambda: F.sha2(F.regexp_replace("body_md", "[^A-Za-z0-9]", ""), 256)
+add("a07_eml_bodies", _read_back(".eml", lambda c: F.concat(F.lit("From: a@x.example\r\nTo: b@y.example\r\nSubject: One\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n."), c), _MAILED), _SAME.format(".eml", "eml"))
+add("a03_html_bodies", _read_back(".html", lambda c: F.concat(F.lit("<html><head><title>T</title></head><body><nav><a href='/'>Home</a></nav><main><p>."), registry._escaped(c), F.lit("</p></main><footer>Imprint</footer></body></html>")), _ALL), _SAME.format(".html", "html"))
+add("a02_md_bodies", _read_back(".md", lambda c: F.concat(F.lit("."), c), _ALL), _SAME.format(".md", "md"))
 add("a01_txt_bodies", _read_back(".txt", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".txt", "txt"))
 
 
