@@ -226,6 +226,20 @@ add("a02_md_bodies", _read_back(".md", lambda c: F.concat(F.lit("."), c), _ALL),
 add("a01_txt_bodies", _read_back(".txt", lambda c: F.concat(F.lit("."), c), _FENCED), _SAME.format(".txt", "txt"))
 
 
+# ---- edges of all methods ----------------------------------------------------------------------------------------
+
+_METHODS_SQL = f"""with {DELIVERED}, {registry.LATEST},
+  l as (select id, concept_id as source, unnest(regexp_extract_all(text, '\\[[^\\]]+\\]\\(([^)]+)\\)', 1)) as raw from delivered),
+  t as (select id, source, trim(split_part(raw, '#', 1)) as t from l),
+  k as (select id, source, case when t like '/%' then ltrim(t, '/') else regexp_extract(source, '^(.*)/[^/]*$', 1) || '/' || t end as target from t where t <> '' and not contains(t, '://')),
+  e as (select 'canonical_chunks/v1' as method, 'contains' as kind, id from delivered
+    union all select 'canonical_chunks/v1', 'cites', id from delivered where source_sha256 is not null
+    union all select 'heading_topic/v1', 'mentions', id from (select id, unnest(heading_path) as label from delivered)
+    union all select 'capitalized_entity/v1', 'mentions', id from (select id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{N}}]|[^\\x00-\\x7F\\P{{M}}]', '_', 'g'), '\\b[A-Z][a-z]+(?:{registry.SPACE}+[A-Z][a-z]+)+\\b'))) as label from delivered)
+    union all select 'markdown_link/v1', 'mentions', id from k where target <> source and target in (select concept_id from latest))
+  select method, kind, count(*) as n, count(distinct id) as n_chunks from e group by all"""
+add("r02_edge_methods", lambda s, d: registry._edges(s, d).groupBy("method", "kind").agg(F.count("*").alias("n"), F.countDistinct("evidence").alias("n_chunks")), _METHODS_SQL)
+
 # ---- walks, indexes, reviews, the lint driver ----------------------------------------------------------------------
 
 _ENGINE_ROWS = ", ".join(f"('{e}', {x}, {p})" for e, x, p in registry.ENGINES)
