@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import random
 import re
 import sqlite3
 
@@ -197,6 +198,35 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == want and sum(v[1] for v in want.values()) > 0
 
 
+def test_near_duplicates_whatever_the_order_of_shingles(spark):
+    """Random copies with edits: one bucket (no order by rarity) and salts for every shingle give the pairs of brute force."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(rng.choice([1, 4, 5, 6, 60, 90, 120, 400, 700]))) for _ in range(24)]
+    for t in list(texts):
+        ws = t.split(" ")
+        for _ in range(4):
+            new = list(ws)
+            for _ in range(rng.randint(1, max(1, len(ws) // 80))):
+                new[rng.randrange(len(new))] = "edit"
+            texts.append(" ".join(new[rng.randint(0, 2) :] or new))
+    texts = sorted(set(texts))
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split(" ") for t in texts)]
+    want = {tuple(sorted((texts[i], texts[j]))) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8}
+    by = {hashlib.sha256(t.encode()).hexdigest(): t for t in texts}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    for more in ({}, {"buckets": 1, "hot": 20}):
+        _, links = dedupe.similar_classes(df, "doc_id", "text", **more)
+        got = [tuple(sorted((by[r.a], by[r.b]))) for r in links.collect()]
+        assert set(got) == want and len(got) == len(want) > 20, more
+
+
+def test_near_duplicates_broadcast_no_table_and_make_pairs_once(spark):
+    """Texts and shingles are larger than the optimizer takes them for: none goes through the driver."""
+    df = spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(9)], "doc_id bigint, text string")
+    plan = dedupe.near_duplicates(df, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") < 8
+
+
 def test_lcs_and_ratio():
     def plain(a, b):
         row = [0] * (len(b) + 1)
