@@ -11,8 +11,9 @@ sentences; no phrase of the corpus is needed. Stretches without any such token h
 are left out of the lattice.
 
 The name class is learnt from context: Spark counts over all documents the tokens of places that label names (mail headers,
-name and contact fields); the most frequent (a bounded number) are the lexicon, membership of which is one feature among the
-others. Names may also be garbled: their forms under wrong decodings are looked up too.
+name and contact fields); the most frequent (a bounded number) are sent to the workers as the lexicon, membership of which is one feature among the
+others. Names may also be garbled: their forms under wrong decodings are looked up too. Names and garbled forms beyond those
+numbers are joined with the words of each text, so that all count.
 
 Edge cases: null texts hold nothing; texts are scanned whole; rows given twice yield one row per record and kind; extra
 columns are ignored; empty tables give no rows.
@@ -30,11 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.session import spread
+from sheafline.session import cut, spread
 
+#: tokens sent to the workers, the most frequent; all others are joined
 LEXICON_TOKENS = 200_000
 MIN_LABELLED = 1
-#: of so many of the most frequent names, garbled forms are looked up as well
+#: of so many of the most frequent names, garbled forms are sent as well; all others are joined
 GARBLED_NAMES = 20_000
 KINDS = ("person_name", "email", "phone", "id_number", "street_address")
 PLACEHOLDER = {"person_name": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "street_address": "[ADDRESS]"}
@@ -88,27 +90,51 @@ class Lexicon:
     all_forms: frozenset[str] = frozenset()
 
     @staticmethod
-    def of(names) -> Lexicon:
+    def of(names, most: int = GARBLED_NAMES) -> Lexicon:
         """From names, the most frequent first where they have an order."""
-        out = set()
         ordered = list(names)
         names = set(ordered)
-        for n in [n for n in ordered if not n.isascii()][:GARBLED_NAMES]:
-            for codec in ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "gb18030"):
-                raw = n.encode("utf-8")
-                bad = raw.decode(codec, "replace") if codec != "cp1252" else "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
-                out.add(bad)
-                if codec in ("cp1252", "latin-1"):
-                    again = bad.encode("utf-8")
-                    out.add("".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in again) if codec == "cp1252" else again.decode("latin-1"))
-            for right in ("cp1252", "mac_roman", "cp850", "cp437"):
-                for wrong in ("cp1252", "mac_roman", "cp850", "cp437"):
-                    if right != wrong:
-                        out.add(n.encode(right, "replace").decode(wrong, "replace"))
-            out.add(n.encode("latin-1", "replace").decode("utf-8", "replace"))
-        plain = {x for x in out if len(x) > 3 and not x.isascii()} - names
+        out = {x for n in [n for n in ordered if not n.isascii()][:most] for x in garbled_forms(n)}
+        plain = out - names
         return Lexicon(frozenset(names), frozenset(plain), frozenset(names | plain))
 
+    def within(self, words: set[str], more: list[str], garbled: list[str]) -> Lexicon:
+        """What a text of such words can find in the lexicon, with further names and garbled forms."""
+        names = self.names & words | set(more)
+        bad = (self.garbled & words | set(garbled)) - names
+        return Lexicon(frozenset(names), frozenset(bad), frozenset(names | bad))
+
+
+def garbled_forms(n: str) -> set[str]:
+    """A name's forms under wrong decodings."""
+    out = set()
+    for codec in ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "gb18030"):
+        raw = n.encode("utf-8")
+        bad = raw.decode(codec, "replace") if codec != "cp1252" else "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in raw)
+        out.add(bad)
+        if codec in ("cp1252", "latin-1"):
+            again = bad.encode("utf-8")
+            out.add("".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in again) if codec == "cp1252" else again.decode("latin-1"))
+    for right in ("cp1252", "mac_roman", "cp850", "cp437"):
+        for wrong in ("cp1252", "mac_roman", "cp850", "cp437"):
+            if right != wrong:
+                out.add(n.encode(right, "replace").decode(wrong, "replace"))
+    out.add(n.encode("latin-1", "replace").decode("utf-8", "replace"))
+    return {x for x in out if len(x) > 3 and not x.isascii()}
+
+
+def looked_up(text: str) -> set[str]:
+    """All words of a text that a lexicon is asked for."""
+    out = set(_CAPITAL.findall(text))
+    if not text.isascii():
+        out.update(_IDEOGRAPHS.findall(text))
+        if _ODD.search(text):
+            for token in _TOKENS.findall(text):
+                out.add(token.strip(".!?'"))
+                if "-" in token:
+                    out.update(token.split("-"))
+    return out
+
 
 Candidate = tuple[int, int, str, tuple]  # start, end, kind, feature values by position
 
@@ -513,13 +539,54 @@ _LABELLED = r"(?m)(?:\*\*(?:From|To|Cc)\*\*:? ?\|? ?|(?:^|[.\s])(?:Name|Contact|
 _NOT_NAMES = set("The This Re Fwd RE AW FW To From Address Contact Name".split())
 
 
-def build_lexicon(docs: DataFrame, tokens: int = LEXICON_TOKENS, least: int = MIN_LABELLED) -> Lexicon:
-    """The most frequent tokens of labelled names over all bodies."""
+def _is_name(n: str) -> bool:
+    return (n not in _NOT_NAMES and n[:1] != n[:1].lower() or ord(n[0]) > 0x2E80) and not (_ODD.search(n) or n.endswith("Г"))
+
+
+def count_names(docs: DataFrame, least: int = MIN_LABELLED) -> DataFrame:
+    """w, n: tokens of labelled names over all bodies."""
     spans = docs.where("body_md is not null").select(F.explode(F.regexp_extract_all("body_md", F.lit(_LABELLED), F.lit(1))).alias("span"))
     words = spans.select(F.explode(F.split(F.trim("span"), r"[ ,]+")).alias("w")).select(F.regexp_replace("w", r"[.]+$", "").alias("w")).where(F.length("w") >= 3)
-    kept = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(tokens)
-    names = [r.w for r in kept.collect()]
-    return Lexicon.of([n for n in names if (n not in _NOT_NAMES and n[:1] != n[:1].lower() or ord(n[0]) > 0x2E80) and not (_ODD.search(n) or n.endswith("Г"))])
+    return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def build_lexicon(docs: DataFrame, tokens: int = LEXICON_TOKENS, garbled: int = GARBLED_NAMES, least: int = MIN_LABELLED) -> tuple[Lexicon, DataFrame | None]:
+    """(the most frequent ``tokens`` of labelled names with the garbled forms of ``garbled`` of them, a table of all other forms
+    if there are any: w, whether garbled)."""
+    counted = cut(count_names(docs, least))
+    top = [r.w for r in counted.orderBy(F.desc("n"), "w").limit(tokens + 1).collect()]
+    names = [n for n in top[:tokens] if _is_name(n)]
+    odd = [n for n in names if not n.isascii()]
+    if len(top) <= tokens and len(odd) <= garbled:
+        return Lexicon.of(names, garbled), None
+    shared = docs.sparkSession.sparkContext.broadcast((frozenset(names), frozenset(odd[:garbled])))
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, done = shared.value
+        for batch in batches:
+            rows = []
+            for n in filter(_is_name, batch["w"]):
+                rows += [(n, False)] * (n not in known)
+                if not n.isascii() and n not in done:
+                    rows += [(x, True) for x in garbled_forms(n)]
+            yield pd.DataFrame(rows, columns=["w", "garbled"])
+
+    return Lexicon.of(names, garbled), counted.select("w").mapInPandas(forms, "w string, garbled boolean").distinct()
+
+
+def with_names(texts: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """Adds more, odd: the names and the garbled forms of ``rest`` among the words of each text."""
+    if rest is None:
+        return texts.withColumns({"more": F.lit(None).cast("array<string>"), "odd": F.lit(None).cast("array<string>")})
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(k, w) for k, text in zip(batch["k"], batch["text"], strict=True) for w in looked_up(text)], columns=["k", "w"])
+
+    texts = texts.withColumn("k", F.sha2("text", 256))
+    hits = texts.select("k", "text").mapInPandas(emit, "k string, w string").join(rest, "w")
+    known = hits.groupBy("k").agg(F.collect_set(F.when(~F.col("garbled"), F.col("w"))).alias("more"), F.collect_set(F.when(F.col("garbled"), F.col("w"))).alias("odd"))
+    return texts.join(known, "k", "left").drop("k")
 
 
 def fields(docs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -530,7 +597,7 @@ def fields(docs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def _run(texts: DataFrame, lexicon: Lexicon, schema: str, make) -> DataFrame:
+def _run(texts: DataFrame, lexicon: Lexicon, rest: DataFrame | None, schema: str, make) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((model_weights(), lexicon))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -538,17 +605,18 @@ def _run(texts: DataFrame, lexicon: Lexicon, schema: str, make) -> DataFrame:
         model = SemiMarkov(weights)
         for batch in batches:
             rows = []
-            for name, key, text in zip(batch["field_name"], batch["record_key"], batch["text"], strict=True):
-                rows.extend(make(name, key, text, model.best(candidates(text, names))))
+            for name, key, text, more, odd in zip(batch["field_name"], batch["record_key"], batch["text"], batch["more"], batch["odd"], strict=True):
+                known = names if more is None else names.within(looked_up(text), more, odd)
+                rows.extend(make(name, key, text, model.best(candidates(text, known))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return texts.mapInPandas(work, schema)
+    return with_names(texts, rest).mapInPandas(work, schema)
 
 
-def found(docs: DataFrame, chunks: DataFrame | None = None, lexicon: Lexicon | None = None) -> DataFrame:
+def found(docs: DataFrame, chunks: DataFrame | None = None, lexicon: Lexicon | None = None, tokens: int = LEXICON_TOKENS, garbled: int = GARBLED_NAMES) -> DataFrame:
     """field_name, record_key, pii_kind: one row per record and kind present."""
     make = lambda name, key, text, spans: {(name, key, s[2]) for s in spans}
-    return _run(fields(docs, chunks), lexicon or build_lexicon(docs), "field_name string, record_key string, pii_kind string", make).distinct()
+    return _run(fields(docs, chunks), *((lexicon, None) if lexicon else build_lexicon(docs, tokens, garbled)), "field_name string, record_key string, pii_kind string", make).distinct()
 
 
 def redact(text: str, spans: list[Candidate]) -> str:
@@ -557,10 +625,10 @@ def redact(text: str, spans: list[Candidate]) -> str:
     return text
 
 
-def redacted(docs: DataFrame, chunks: DataFrame | None = None, lexicon: Lexicon | None = None) -> DataFrame:
+def redacted(docs: DataFrame, chunks: DataFrame | None = None, lexicon: Lexicon | None = None, tokens: int = LEXICON_TOKENS, garbled: int = GARBLED_NAMES) -> DataFrame:
     """field_name, record_key, redacted, n_spans of every record."""
     make = lambda name, key, text, spans: [(name, key, redact(text, spans), len(spans))]
-    return _run(fields(docs, chunks), lexicon or build_lexicon(docs), "field_name string, record_key string, redacted string, n_spans int", make)
+    return _run(fields(docs, chunks), *((lexicon, None) if lexicon else build_lexicon(docs, tokens, garbled)), "field_name string, record_key string, redacted string, n_spans int", make)
 
 
 def kind_report(docs: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

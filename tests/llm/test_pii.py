@@ -75,3 +75,26 @@ def test_spark_rows(spark):
     clean = {r.record_key: r.redacted for r in pii.redacted(docs).collect()}
     assert clean["4"] == "[PERSON] was here" and clean["1"].startswith("- **From**: [PERSON] <[EMAIL]>")
     assert pii.found(docs.limit(0), chunks.limit(0)).count() == 0
+
+
+def test_names_beyond_the_most_frequent_count_too(spark):
+    """However few names and garbled forms are sent to the workers, the rows are the same."""
+    names = ["Zora Quill", "Jörg Eskelholz", "Nadège Ferrôt", "Mara-Lena Vörös", "山田太郎"]
+    bodies = [f"- **From**: {n} <x{k}@x.example>" for k, n in enumerate(names)] * 2
+    bodies += [f"{n} was here" for n in names] + ["Then Quill left, and Ferrôt came.", "昨日 山田太郎 が来た", "The ledger was here."]
+    bodies += [f"handed to {n.encode().decode('cp1252', 'replace')} yesterday" for n in names[1:4]]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "canon_id bigint, body_md string")
+    chunks = docs.selectExpr("concat('c', canon_id) as id", "body_md as text")
+    lexicon, rest = pii.build_lexicon(docs)
+    assert rest is None and lexicon.garbled
+    whole = {tuple(r) for r in pii.found(docs, chunks).collect()}
+    clean = {tuple(r) for r in pii.redacted(docs, chunks).collect()}
+    named = sum(k == "person_name" for *_, k in whole)
+    assert named > len({tuple(r) for r in pii.found(docs, chunks, pii.Lexicon.of({"Nobody"})).collect() if r.pii_kind == "person_name"})
+    for tokens, garbled in ((1, 20), (100, 1), (0, 0)):
+        sent, rest = pii.build_lexicon(docs, tokens, garbled)
+        forms = rest.collect()
+        assert sent.names | {r.w for r in forms if not r.garbled} == lexicon.names
+        assert (sent.garbled | {r.w for r in forms if r.garbled}) - lexicon.names == lexicon.garbled
+        assert {tuple(r) for r in pii.found(docs, chunks, tokens=tokens, garbled=garbled).collect()} == whole
+        assert {tuple(r) for r in pii.redacted(docs, chunks, tokens=tokens, garbled=garbled).collect()} == clean
